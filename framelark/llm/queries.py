@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from .lines import op3_line_dedup
 from .packing import op1_pack_sequences
+from .tokenfiles import op4_token_files
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_token_files": op4_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": f"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split),
+        keyed AS (SELECT doc_id, i, line, translate(trim(line, {_SPACE}), {_UPPER}, {_LOWER}) AS k FROM lines),
+        common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT keyed.*, common.k IS NOT NULL AND keyed.doc_id <> common.keeper AS lost FROM keyed LEFT JOIN common USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
