@@ -7,20 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, cut, documents, fingerprint, map_batches, mix, prepare, words
+from ._shared import WordHashes, clean, cut, documents, fingerprint, map_batches, mix, prepare, words
 
 #: Fixed masks over 12 word positions. 0: ignored. Any one substitution leaves a mask unharmed, and so do
 #: most pairs of substitutions; every place of a longer overlap is tried.
 MASKS = ("111111000011", "110000111111", "001111111100")
-PUNCTUATION = b".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 BITS = 22
 
 
-def clean(word: bytes) -> bytes:
-    """A word without punctuation at its ends (a word of punctuation only stays)."""
-    return word.strip(PUNCTUATION) or word
-
-
 def seed_hashes(ids: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...] = ()) -> list[tuple[int, np.ndarray]]:
     """For each mask and then for each short length: its number, and the hash at each place where it fits."""
     out = []

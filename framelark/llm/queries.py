@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
+from .language import op9_language_id
 from .lines import op3_line_dedup
 from .packing import op1_pack_sequences
+from .pii import op5_personal_data
+from .quality import op6_quality_rules
 from .tokenfiles import op4_token_files
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_files": op4_token_files,
+    "op5_personal_data": op5_personal_data,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
