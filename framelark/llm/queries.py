@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op10_decontaminate
 from .language import op9_language_id
 from .lines import op3_line_dedup
+from .near import op2_near_duplicates
 from .packing import op1_pack_sequences
 from .pii import op5_personal_data
 from .quality import op6_quality_rules
@@ -13,6 +14,7 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_files": op4_token_files,
     "op5_personal_data": op5_personal_data,

@@ -14,12 +14,17 @@ from ._shared import clean, documents, prepare, words
 FOLDS = 5
 
 
+#: Lengths in bytes of the word beginnings that count as features beside whole words.
+PREFIXES = (6, 8)
+
+
 def word_set(text: str | None) -> set[bytes]:
-    """Distinct words of a whole text, without punctuation at their ends."""
-    return set(map(clean, set(words(text))))
+    """Distinct words of a whole text, without punctuation at their ends, and the beginnings of longer ones (with ``*``)."""
+    whole = set(map(clean, set(words(text))))
+    return whole.union(*({w[:n] + b"*" for w in whole if len(w) > n} for n in PREFIXES))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
     """Ridge-penalised logistic weights by Newton's method; the last one is the free intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -40,44 +45,52 @@ def apply_linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class WordModel:
-    """One link of the chain: words with a significant association, and the probabilities of the links before."""
+    """One link of the chain: words with a significant association, and the probabilities of the links before.
+
+    It is fitted on rows of word numbers; ``name`` then gives it the words themselves.
+    """
 
     def __init__(self, most: int = 300, wrong: float = 0.01):
-        self.most, self.wrong = most, wrong
+        self.most, self.wrong, self.vocabulary = most, wrong, {}
 
-    def select(self, sets: list[set[bytes]], y: np.ndarray) -> None:
+    def select(self, rows: list[np.ndarray], y: np.ndarray, n_words: int) -> None:
         """Words whose presence depends on the label: likelihood ratio beyond chance after correction for the number of words tried."""
-        seen: dict[bytes, list[int]] = {}
-        for s, v in zip(sets, y, strict=True):
-            for w in s:
-                seen.setdefault(w, [0, 0])[int(v)] += 1
-        tried = [(w, a) for w, a in seen.items() if sum(a) >= 5]
-        n = np.array([len(y) - y.sum(), y.sum()], float)
-        if not tried or n.min() == 0:
-            self.vocabulary = {}
+        count = lambda v: np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, k in zip(rows, y, strict=True) if k == v)]), minlength=n_words)
+        with_word = np.stack([count(0), count(1)], 1).astype(float)
+        self.column, n = np.full(n_words, -1), np.array([len(y) - y.sum(), y.sum()], float)
+        tried = np.flatnonzero(with_word.sum(1) >= 5)
+        if not len(tried) or n.min() == 0:
             return
-        with_word = np.array([a for _, a in tried], float)
-        cells = np.stack([with_word, n - with_word])
+        cells = np.stack([with_word[tried], n - with_word[tried]])
         expected = cells.sum(2, keepdims=True) * n / n.sum()
         g = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(expected, 1e-9))).sum((0, 2))
-        least = 2 * math.log(len(tried) / self.wrong)
-        order = sorted((i for i in range(len(tried)) if g[i] > least), key=lambda i: (-g[i], tried[i][0]))[: self.most]
-        self.vocabulary = {tried[i][0]: k for k, i in enumerate(order)}
-
-    def matrix(self, sets: list[set[bytes]], earlier: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(sets), len(self.vocabulary)))
-        for i, s in enumerate(sets):
-            for w in self.vocabulary.keys() & s:
-                x[i, self.vocabulary[w]] = 1
+        order = np.argsort(-g, kind="stable")[: self.most]
+        order = order[g[order] > 2 * math.log(len(tried) / self.wrong)]
+        self.column[tried[order]] = np.arange(len(order))
+
+    def numbered(self, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), self.column.max(initial=-1) + 1))
+        for i, r in enumerate(rows):
+            c = self.column[r]
+            x[i, c[c >= 0]] = 1
         return np.hstack([x, earlier])
 
-    def fit(self, sets: list[set[bytes]], earlier: np.ndarray, y: np.ndarray) -> WordModel:
-        self.select(sets, y)
-        self.weights = fit_linear(self.matrix(sets, earlier), y)
+    def fit(self, rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray, n_words: int) -> WordModel:
+        self.select(rows, y, n_words)
+        self.weights = fit_linear(self.numbered(rows, earlier), y)
+        return self
+
+    def name(self, names: list[bytes]) -> WordModel:
+        self.vocabulary = {names[i]: int(self.column[i]) for i in np.flatnonzero(self.column >= 0)}
+        del self.column
         return self
 
     def predict(self, sets: list[set[bytes]], earlier: np.ndarray) -> np.ndarray:
-        return apply_linear(self.matrix(sets, earlier), self.weights)
+        x = np.zeros((len(sets), len(self.vocabulary)))
+        for i, s in enumerate(sets):
+            for w in self.vocabulary.keys() & s:
+                x[i, self.vocabulary[w]] = 1
+        return apply_linear(np.hstack([x, earlier]), self.weights)
 
 
 class Chain:
@@ -91,16 +104,17 @@ class Chain:
         self.categories, self.links = categories, []
 
     def fit(self, sets: list[set[bytes]], labels: np.ndarray, fold: np.ndarray) -> Chain:
-        earlier = np.zeros((len(sets), 0))
+        number: dict[bytes, int] = {}
+        rows = [np.array(sorted(number.setdefault(w, len(number)) for w in s), np.int64) for s in sets]
+        names, earlier = list(number), np.zeros((len(sets), 0))
         for k in range(len(self.categories)):
             y, out = labels[:, k].astype(float), np.zeros(len(sets))
             for f in range(FOLDS):
-                held = fold == f
-                if held.any():
-                    own = [i for i in range(len(sets)) if not held[i]]
-                    part = WordModel().fit([sets[i] for i in own], earlier[own], y[own]) if own else None
-                    out[held] = part.predict([sets[i] for i in np.flatnonzero(held)], earlier[held]) if part else 0.0
-            self.links.append(WordModel().fit(sets, earlier, y))
+                own, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                if len(own) and len(held):
+                    part = WordModel().fit([rows[i] for i in own], earlier[own], y[own], len(names))
+                    out[held] = apply_linear(part.numbered([rows[i] for i in held], earlier[held]), part.weights)
+            self.links.append(WordModel().fit(rows, earlier, y, len(names)).name(names))
             earlier = np.hstack([earlier, out[:, None]])
         return self
 
@@ -111,7 +125,7 @@ class Chain:
         return said
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 6000) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 8000) -> Chain | None:
     """Fit a chain on at most ``max_rows`` labelled documents, those with the smallest hashes of their id.
 
     ``labels`` has doc_id and one 0/1 column for each category; rows with a null are left out, repeated ids count as 1 where any says
@@ -133,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
     return Chain(categories).fit([set(map(bytes, r["words"])) for r in rows], np.array([[r[c] for c in columns] for r in rows]), fold)
 
 
-def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.2) -> DataFrame:
     """``docs`` with ``p_<category>`` for each category and ``toxic``: the last category's probability reaches ``threshold``.
 
     The whole text counts. Null, empty or wordless text is never toxic and has probability 0, as has any text where nothing was
