@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, cut, documents, fingerprint, map_batches, mix, prepare, shingles, words
+from ._shared import WordHashes, cut, documents, fingerprint, map_batches, mix, prepare, release, shingles, words
 
 SLOTS, BANDS = 128, 32
 #: Share of equal signature slots under which a pair isn't looked at again in mixed buckets: 0.8 less 4.5 standard errors.
@@ -138,41 +138,53 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return left.join(texts, left["v"] == texts["c"]).select("u", "v", "x", "text").mapInArrow(run, "u binary, v binary")
 
 
-def _likely_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups in one bucket that may be similar; ``mixed``: (h, c, root, n, sig), buckets with several groups.
+def _likely_pairs(mixed: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different groups in one bucket that may be similar; ``mixed``: (h, c, root, n, sig, bands), buckets with several groups.
 
     Rows outside a bucket's largest group meet all rows of other groups in it. They do so as blocks of ``BLOCK``
-    signatures, so no pair is a row before sizes and signatures speak for it.
+    signatures, so no pair is a row before sizes and signatures speak for it. ``best``: only the likeliest partner of
+    each such row; otherwise every likely pair, from the first band that the two share.
     """
     sizes = mixed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
     main = cut(sizes.groupBy("h").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("total")), "main")
-    rows = mixed.join(main, "h")
+    rows = cut(mixed.join(main, "h"), "rows")
     block = F.pmod(F.xxhash64("c"), F.ceil(F.col("total") / BLOCK)).alias("block")
-    packed = lambda x, name: x.groupBy("h", block).agg(F.collect_list(F.struct("c", "root", "n", "sig")).alias(name)).drop("block")
+    packed = lambda x, name: x.groupBy("h", block).agg(F.collect_list(F.struct("c", "root", "n", "sig", "bands")).alias(name)).drop("block")
     left, right = cut(packed(rows.where("root <> main"), "x"), "left"), cut(packed(rows, "y"), "right")
+    release(main, rows)
 
-    def run(batches):
-        def unpack(a):
-            s = a.values if hasattr(a, "values") else a
-            f = {n: s.field(n) for n in ("c", "root", "n", "sig")}
-            return f["c"].to_pylist(), f["root"].to_pylist(), np.array(f["n"].to_pylist()), np.frombuffer(b"".join(f["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+    def unpack(s):
+        c, r, bands = (s.field(n).to_pylist() for n in ("c", "root", "bands"))
+        return c, r, np.array(s.field("n").to_pylist()), np.frombuffer(b"".join(s.field("sig").to_pylist()), np.uint8).reshape(-1, SLOTS), np.array(bands, np.int64)
 
-        for b in batches:
-            out: list[list[bytes]] = [[], []]
-            for i in range(b.num_rows):
-                c, r, n, s = unpack(b.column(0)[i].values)
-                d, q, m, t = unpack(b.column(1)[i].values)
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for i in range(batch.num_rows):
+                h = batch.column(0)[i].as_py()
+                c, r, n, s, b = unpack(batch.column(1)[i].values)
+                d, q, m, t, e = unpack(batch.column(2)[i].values)
                 q = np.array(q, object)
                 for j in range(len(c)):
-                    near = (100 * np.minimum(n[j], m) >= percent * np.maximum(n[j], m)) & (q != r[j])
-                    near[near] = (t[near] == s[j]).mean(1) >= LIKELY
-                    for z in np.flatnonzero(near):
-                        out[0].append(min(c[j], d[z]))
-                        out[1].append(max(c[j], d[z]))
+                    near = np.flatnonzero((100 * np.minimum(n[j], m) >= percent * np.maximum(n[j], m)) & (q != r[j]))
+                    share = (t[near] == s[j]).mean(1)
+                    near, share = near[share >= LIKELY], share[share >= LIKELY]
+                    if best and len(near):
+                        k = int(share.argmax())
+                        near, share = near[k : k + 1], share[k : k + 1]
+                    elif len(near):
+                        once = e[near][np.arange(len(near)), (e[near] == b[j]).argmax(1)] == h
+                        near, share = near[once], share[once]
+                    for z, w in zip(near, share, strict=True):
+                        for x, v in zip(out, (d[z], c[j], float(w)), strict=True):
+                            x.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["u", "v", "share"])
 
-    return left.join(right, "h").select("x", "y").mapInArrow(run, "u binary, v binary").distinct()
+    pairs = left.join(right, "h").select("h", "x", "y").mapInArrow(run, "u binary, v binary, share double")
+    if best:
+        return pairs.groupBy("v").agg(F.max_by("u", F.struct("share", "u")).alias("u")).select("u", "v")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -184,7 +196,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     larger than all others and is its own component where it stands alone. ``kept``: doc_id = component_id. No rows give no rows.
 
     Equal sets are one class. A class is confirmed against the least class of its bucket that it shares most bands with. Where
-    groups found so still share a bucket, all pairs between them are compared by signature, and likely ones confirmed on full sets.
+    groups found so still share a bucket, each class outside a bucket's largest group is confirmed against the likeliest class of another group, twice; then
+    every likely pair of different groups is. All confirmations take full sets.
     Two documents with similarity 0.8 share one of the 32 bands of 4 slots with probability 1 - 5e-8.
     """
     prepare(docs.sparkSession)
@@ -204,13 +217,18 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = cut(source.join(wanted, match).groupBy("c").agg(F.first("text").alias("text")), "texts")
     links = cut(confirm(first, texts, k, percent), "links")
     groups = components(links)
-    placed = cut(shared.select("h", "c").join(groups, "c", "left").select("h", "c", F.coalesce("root", "c").alias("root")), "placed")
-    several = cut(placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), "several")
-    if not several.isEmpty():
-        mixed = cut(placed.join(several, "h").join(classes.select("c", "n", "sig"), "c"), "mixed")
-        more = cut(confirm(cut(_likely_pairs(mixed, percent), "likely"), texts, k, percent), "more")
+    for best in (True, True, False):
+        placed = cut(shared.select("h", "c").join(groups, "c", "left").select("h", "c", F.coalesce("root", "c").alias("root")), "placed")
+        several = cut(placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h"), "several")
+        if several.isEmpty():
+            break
+        mixed = cut(placed.join(several, "h").join(classes.select("c", "n", "sig", "bands"), "c"), "mixed")
+        likely = cut(_likely_pairs(mixed, percent, best), "likely")
+        more = cut(confirm(likely, texts, k, percent), "more")
+        release(placed, several, mixed, likely)
         if not more.isEmpty():
-            groups = components(links.unionByName(more))
+            links = cut(links.unionByName(more), "links")
+            groups = components(links)
     ids = classes.select("c", F.col("least.doc_id").alias("least"), "rows").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = cut(ids.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "component_id"), "least")
     named = cut(ids.select("c", "root").join(least, "root").select("c", "component_id"), "named")
