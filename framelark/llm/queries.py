@@ -9,6 +9,7 @@ from .near import op2_near_duplicates
 from .packing import op1_pack_sequences
 from .pii import op5_personal_data
 from .quality import op6_quality_rules
+from .substrings import op7_repeated_bytes
 from .tokenfiles import op4_token_files
 from .toxicity import op8_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
+    "op7_repeated_bytes": op7_repeated_bytes,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
