@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import clean, documents, prepare, words
+from ._shared import WordHashes, clean, documents, prepare, words
 
 FOLDS = 5
 
 
-def word_set(text: str | None) -> set[bytes]:
-    """Distinct words of a whole text, without punctuation at their ends."""
-    return set(map(clean, set(words(text))))
+def word_ids(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's words, without punctuation at their ends."""
+    return np.unique(hashes.of(words(text)))
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> np.ndarray:
@@ -42,11 +42,11 @@ def apply_linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class WordModel:
     """One link of the chain: words with a significant association, and the probabilities of the links before.
 
-    It is fitted on rows of word numbers; ``name`` then gives it the words themselves.
+    It is fitted on rows of word numbers; ``name`` then gives it the words' hashes.
     """
 
     def __init__(self, most: int = 300, wrong: float = 0.01):
-        self.most, self.wrong, self.vocabulary = most, wrong, {}
+        self.most, self.wrong = most, wrong
 
     def select(self, rows: list[np.ndarray], y: np.ndarray, n_words: int) -> None:
         """Words whose presence depends on the label: likelihood ratio beyond chance after correction for the number of words tried."""
@@ -75,16 +75,17 @@ class WordModel:
         self.weights = fit_linear(self.numbered(rows, earlier), y)
         return self
 
-    def name(self, names: list[bytes]) -> WordModel:
-        self.vocabulary = {names[i]: int(self.column[i]) for i in np.flatnonzero(self.column >= 0)}
+    def name(self, ids: np.ndarray) -> WordModel:
+        """Keep the hashes of the selected words (``ids`` has those of all numbers, ascending)."""
+        chosen = np.flatnonzero(self.column >= 0)
+        self.vocabulary, self.place = ids[chosen], self.column[chosen]
         del self.column
         return self
 
-    def predict(self, sets: list[set[bytes]], earlier: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(sets), len(self.vocabulary)))
-        for i, s in enumerate(sets):
-            for w in self.vocabulary.keys() & s:
-                x[i, self.vocabulary[w]] = 1
+    def predict(self, rows: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), len(self.vocabulary)))
+        for i, r in enumerate(rows):
+            x[i, self.place[np.isin(self.vocabulary, r, assume_unique=True)]] = 1
         return apply_linear(np.hstack([x, earlier]), self.weights)
 
 
@@ -98,25 +99,24 @@ class Chain:
     def __init__(self, categories: list[str]):
         self.categories, self.links = categories, []
 
-    def fit(self, sets: list[set[bytes]], labels: np.ndarray, fold: np.ndarray) -> Chain:
-        number: dict[bytes, int] = {}
-        rows = [np.array(sorted(number.setdefault(w, len(number)) for w in s), np.int64) for s in sets]
-        names, earlier = list(number), np.zeros((len(sets), 0))
+    def fit(self, words_of: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
+        ids, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *words_of]), return_inverse=True)
+        rows, earlier = np.split(flat, np.cumsum([len(r) for r in words_of])[:-1]), np.zeros((len(words_of), 0))
         for k in range(len(self.categories)):
-            y, out = labels[:, k].astype(float), np.zeros(len(sets))
+            y, out = labels[:, k].astype(float), np.zeros(len(rows))
             for f in range(FOLDS):
                 own, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if len(own) and len(held):
-                    part = WordModel().fit([rows[i] for i in own], earlier[own], y[own], len(names))
+                    part = WordModel().fit([rows[i] for i in own], earlier[own], y[own], len(ids))
                     out[held] = apply_linear(part.numbered([rows[i] for i in held], earlier[held]), part.weights)
-            self.links.append(WordModel().fit(rows, earlier, y, len(names)).name(names))
+            self.links.append(WordModel().fit(rows, earlier, y, len(ids)).name(ids))
             earlier = np.hstack([earlier, out[:, None]])
         return self
 
-    def predict(self, sets: list[set[bytes]]) -> np.ndarray:
-        said = np.zeros((len(sets), 0))
+    def predict(self, rows: list[np.ndarray]) -> np.ndarray:
+        said = np.zeros((len(rows), 0))
         for link in self.links:
-            said = np.hstack([said, link.predict(sets, said)[:, None]])
+            said = np.hstack([said, link.predict(rows, said)[:, None]])
         return said
 
 
@@ -130,16 +130,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
     chosen = chosen.orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")
 
-    @F.pandas_udf("array<binary>")
-    def sets_of(text: pd.Series) -> pd.Series:
-        return pd.Series([sorted(word_set(t)) for t in text], dtype=object)
+    @F.pandas_udf("binary")
+    def ids_of(text: pd.Series) -> pd.Series:
+        h = WordHashes(clean=clean)
+        return pd.Series([word_ids(t, h).tobytes() for t in text], dtype=object)
 
     columns = [f"_y{k}" for k in range(len(categories))]
-    rows = texts.select("doc_id", *columns, sets_of("text").alias("words")).orderBy(F.xxhash64(F.lit(9), "doc_id"), F.xxhash64("words")).limit(2 * max_rows).collect()
+    # repeated ids may have several texts: one row of each, so that the bound holds
+    rows = texts.groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("doc_id", *columns, ids_of("text").alias("ids")).collect()
     if not rows:
         return None
+    rows.sort(key=lambda r: r["doc_id"])
     fold = np.array([(r["doc_id"] * 2654435761 >> 7) % FOLDS for r in rows])
-    return Chain(categories).fit([set(map(bytes, r["words"])) for r in rows], np.array([[r[c] for c in columns] for r in rows]), fold)
+    return Chain(categories).fit([np.frombuffer(r["ids"], np.uint64) for r in rows], np.array([[r[c] for c in columns] for r in rows]), fold)
 
 
 def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.2) -> DataFrame:
@@ -155,9 +158,10 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.2) -> DataF
 
     @F.pandas_udf(kind)
     def judge(text: pd.Series) -> pd.DataFrame:
-        sets = [word_set(t) for t in text]
-        p = model.value.predict(sets) if model.value and sets else np.zeros((len(sets), len(names)))
-        p[[not s for s in sets]] = 0
+        h = WordHashes(clean=clean)
+        rows = [word_ids(t, h) for t in text]
+        p = model.value.predict(rows) if model.value and rows else np.zeros((len(rows), len(names)))
+        p[[not len(r) for r in rows]] = 0
         return pd.DataFrame(p, columns=names)
 
     rest = [c for c in docs.columns if c not in (*names, "toxic", "_judged")]
