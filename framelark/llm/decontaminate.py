@@ -12,7 +12,8 @@ from ._shared import WordHashes, clean, cut, documents, fingerprint, map_batches
 #: Fixed masks over 12 word positions. 0: ignored. Any one substitution leaves a mask unharmed, and so do
 #: most pairs of substitutions; every place of a longer overlap is tried.
 MASKS = ("111111000011", "110000111111", "001111111100")
-BITS = 22
+#: A filter of fixed size has a bitmap for each of three runs of this many bits of a seed.
+BITS, RUNS = 21, (43, 22, 1)
 
 
 def seed_hashes(ids: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...] = ()) -> list[tuple[int, np.ndarray]]:
@@ -72,8 +73,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_sha
     ``min_share`` of its words are equal and those are ``min_words`` or more (or 80 % of a shorter item). Items of
     fewer than 12 words are looked for as a whole.
 
-    Documents are hashed where they are read. A bitmap of fixed size (2^22 bits, whatever the benchmark) sorts out
-    windows whose hash no item has; the rest are joined with the items' hashes, and only documents with a hit send their words on.
+    Documents are hashed where they are read. A filter of fixed size (three bitmaps of 2^21 bits, whatever the benchmark) sorts out
+    nearly all windows whose hash no item has; the rest are joined with the items' hashes, and only documents with a hit send their words on.
     """
     spark = prepare(docs.sparkSession)
     items = cut(bench_tokens(benchmark), "items")
@@ -92,23 +93,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_sha
         return out
 
     seeds = cut(map_batches(items, item_seeds, "item_id long, seed long, item_at int"), "seeds")
-    # 2^22 bits as 2^16 words of 64 bits: this many rows at most, however large the benchmark
-    place = seeds.select(F.shiftrightunsigned("seed", 64 - BITS).alias("p"))
-    bits = place.selectExpr("cast(p div 64 as int) AS w", "shiftleft(1L, cast(p % 64 as int)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).collect()
-    table = np.zeros(1 << (BITS - 6), np.uint64)
+    # 3 * 2^21 bits as words of 64 bits: 98,304 rows at most, however large the benchmark
+    places = F.array(*(F.shiftrightunsigned("seed", r).bitwiseAND(F.lit((1 << BITS) - 1)) + i * (1 << BITS) for i, r in enumerate(RUNS)))
+    bits = seeds.select(F.explode(places).alias("p")).selectExpr("cast(p div 64 as int) AS w", "shiftleft(1L, cast(p % 64 as int)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).collect()
+    table = np.zeros(len(RUNS) << (BITS - 6), np.uint64)
     for r in bits:
         table[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
-    bitmap = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
+    bitmap = spark.sparkContext.broadcast(table)
 
     def probe(batches):
-        have, h = bitmap.value, WordHashes(clean=clean)
+        have = np.unpackbits(bitmap.value.view(np.uint8), bitorder="little").astype(bool).reshape(len(RUNS), -1)
+        h, low = WordHashes(clean=clean), np.uint64((1 << BITS) - 1)
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for d, x, y, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 ids = h.of(words(t))
                 at, seed = [], []
                 for _, s in seed_hashes(ids, masks, short):
-                    hit = np.flatnonzero(have[(s >> np.uint64(64 - BITS)).astype(np.int64)])
+                    hit = np.flatnonzero(have[0][(s >> np.uint64(RUNS[0])) & low])
+                    for i, r in enumerate(RUNS[1:], 1):
+                        hit = hit[have[i][(s[hit] >> np.uint64(r)) & low]]
                     at.append(hit.astype(np.int32))
                     seed.append(s[hit].view(np.int64))
                 if sum(map(len, at)):
