@@ -20,7 +20,7 @@ class Encoder(dict):
     share ``the``. Both memories are emptied at ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
