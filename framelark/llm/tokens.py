@@ -8,42 +8,47 @@ import re
 
 import numpy as np
 
-#: What the tokenizer splits a lower-case ASCII word into before merging.
-ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of these characters alone (ASCII without ``<``, letters of Latin-1) look the same in every normal form and hold no added token.
+PLAIN = re.compile("[!-;=-~\u00c0-\u00ff]+")
+#: What the tokenizer splits a lower-case plain word into before merging.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class Encoder(dict):
     """Word (bytes, no ASCII white space) -> ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in
-    order. ASCII words without ``<`` (no added token) are split once more, so that ``the,`` and ``The``
-    share ``the``. Both memories are emptied at ``limit`` entries.
+    order. Plain words are split once more, so that ``the,`` and ``The`` share ``the``; their pieces need
+    no normalizing and go to the tokenizer's model at once. Both memories are emptied at ``limit`` entries.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.pieces = Tokenizer.from_file(path), limit, {}
-        self.split = "word_bpe" in os.path.basename(path)
+        self.split, self.model = "word_bpe" in os.path.basename(path), self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.by_byte = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def library(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, p: bytes) -> bytes:
+    def piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
             if len(self.pieces) >= self.limit:
                 self.pieces.clear()
-            got = self.pieces[p] = self.library(p)
+            got = self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.translate(self.by_byte))], "<u4").tobytes()
         return got
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        if self.split and word.isascii() and b"<" not in word and min(word) > 32:
-            got = b"".join([self.piece(p) for p in ASCII_PIECES.findall(word.lower())])
+        text = word.decode("utf-8", "replace")
+        if self.split and PLAIN.fullmatch(text):
+            got = b"".join([self.piece(p) for p in PIECES.findall(text.lower())])
         else:
             got = self.library(word)
         self[word] = got
