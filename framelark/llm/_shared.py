@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: texts may be long, so batches stay small.
 BATCH_ROWS = 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -34,11 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This ends the lineage: a lost executor costs the tasks it was running, not the stages before.
+    This ends the lineage: a lost executor costs the tasks it was running, not the stages before. Once the
+    table stands, Spark deletes the shuffle files it was made from.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/framelark-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     back = spark.read.schema(df.schema).parquet(path)
     back.framelark_path = path
     return back

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, documents, fingerprint, map_batches, mix, prepare
+from ._shared import cut, documents, fingerprint, map_batches, mix, prepare, release
 
 K, LENGTH = 24, 50
 BITS = 26
@@ -92,8 +92,8 @@ def _least_docs(contexts: DataFrame, buckets: int) -> DataFrame:
     return contexts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(sort, "c binary, least binary")
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay).
+def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay; with ``digest`` their SHA-256).
 
     Every byte covered by a 50-byte string that also starts in a document with a smaller doc_id goes; overlaps count and strings are judged on
     the input. Null text is empty. Texts under 50 bytes stay whole. Rows that share a doc_id don't count as smaller than one another; a null doc_id counts as the largest. No rows give no rows.
@@ -114,6 +114,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     table = np.zeros(1 << (BITS - 6), np.uint64)
     table[bits.column("w").to_numpy()] = bits.column("m").to_numpy().view(np.uint64)
     bitmap = spark.sparkContext.broadcast(table)
+    release(hot)
 
     def around(batches):
         have = bitmap.value
@@ -147,6 +148,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     gone = map_batches(found.select("c", "doc_id", "a", "b", "at").join(least, "c").select("doc_id", "a", "b", "at", "least"), removed, "a long, b long, spans binary")
     gone = cut(gone.groupBy("a", "b").agg(F.collect_list("spans").alias("starts")), "gone")
+    release(found, least)
+    final = (lambda x: hashlib.sha256(x).digest()) if digest else bytes
 
     def strip(b):
         out: dict[str, list] = {k: [] for k in ("a", "b", "least", "n_bytes", "n_removed", "n_spans", "kept")}
@@ -159,23 +162,24 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                 np.add.at(edge, s + LENGTH, -1)
             cover = np.cumsum(edge[:-1]) > 0
             runs = int((cover & ~np.concatenate([[False], cover[:-1]])).sum()) if len(x) else 0
-            for k, v in zip(out, (a, bb, d, len(x), int(cover.sum()), runs, x[~cover].tobytes()), strict=True):
+            for k, v in zip(out, (a, bb, d, len(x), int(cover.sum()), runs, final(x[~cover].tobytes())), strict=True):
                 out[k].append(v)
         return out
 
     own = unique.join(gone, ["a", "b"], "left").select("a", "b", "doc_id", "text", "starts")
     stripped = cut(map_batches(own, strip, "a long, b long, least long, n_bytes long, n_removed long, n_spans long, kept binary"), "stripped")
+    release(unique, gone)
     all_rows = rows.select("doc_id", F.col("fp.a").alias("x"), F.col("fp.b").alias("y"))
     joined = all_rows.join(stripped, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
     whole = (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
     return joined.select(
         F.nullif("doc_id", F.lit(big)).alias("doc_id"), "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"), F.when(whole, F.lit(final(b""))).otherwise(F.col("kept")).alias("kept"),
     )
 
 
 def op7_repeated_bytes(spark, sf_dir: str) -> DataFrame:
-    return repeated_bytes(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return repeated_bytes(documents(spark, sf_dir), digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int, str]]:
