@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,26 +12,59 @@ from pyspark.sql import functions as F
 
 from ._shared import WordHashes, clean, cut, documents, fingerprint, map_batches, mix, prepare, words
 
-#: Fixed masks over 12 word positions. 0: ignored. Any one substitution leaves a mask unharmed, and so do
-#: most pairs of substitutions; every place of a longer overlap is tried.
-MASKS = ("111111000011", "110000111111", "001111111100")
+#: Masks of six words. 0: ignored. Every stretch of 12 equal words or more, 80 % or more of it equal, holds a hit of one of them wherever
+#: its substitutions lie (the tests enumerate this).
+MASKS = ("1011001011", "1111011", "11100100011")
 #: A filter of fixed size has a bitmap for each of three runs of this many bits of a seed.
 BITS, RUNS = 21, (43, 22, 1)
 
 
-def seed_hashes(ids: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...] = ()) -> list[tuple[int, np.ndarray]]:
-    """For each mask and then for each short length: its number, and the hash at each place where it fits."""
+def least_equal(n_words: int, min_words: int) -> float:
+    """Equal words that an overlap with an item of ``n_words`` needs."""
+    return min(min_words, 0.8 * n_words)
+
+
+def masks_for(min_words: int, min_share: float) -> tuple[str, ...]:
+    """Masks of which one hits in every overlap of ``min_words`` equal words: ``MASKS``, or a run that no looser overlap can do without."""
+    if min_words >= 12 and min_share >= 0.8:
+        return MASKS
+    run = lambda e: -(-e // (math.floor(e * (1 - min_share) / max(min_share, 1e-9) + 1e-9) + 1))
+    return ("1" * max(1, min(run(e) for e in range(min_words, min_words + 200))),)
+
+
+def item_masks(n: int) -> tuple[int, tuple[str, ...]]:
+    """For an item of ``n`` words, too few for ``masks_for``: how many may differ, and masks over the whole item of which one avoids those.
+
+    The item has two parts more than words that may differ; a mask takes two of the parts.
+    """
+    k = n - math.ceil(0.8 * n - 1e-9)
+    if k == 0:
+        return 0, ("1" * n,)
+    parts = np.array_split(np.arange(n), k + 2)
+    return k, tuple("".join("1" if i in (*x, *y) else "0" for i in range(n)) for x, y in itertools.combinations(parts, 2))
+
+
+def seed_hashes(ids: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...] = (), whole: bool = False) -> list[tuple[int, np.ndarray]]:
+    """For each mask, then for each mask of each short length: the first place (below 0 where an item may begin before the text), and the hash at each place from there on.
+
+    ``whole``: ``ids`` is an item, which nothing goes before or after.
+    """
+    todo = [(number, mask, 0) for number, mask in enumerate(masks)]
+    for n in short:
+        k, own = item_masks(n)
+        todo += [(1000 + 100 * n + j, mask, 0 if whole else k) for j, mask in enumerate(own)]
     out = []
-    for number, mask in [*enumerate(masks), *((1000 + n, "1" * n) for n in short)]:
-        n = len(ids) - len(mask) + 1
+    for number, mask, pad in todo:
+        x = np.concatenate([edge := np.zeros(pad, np.uint64), ids, edge]) if pad else ids
+        n = len(x) - len(mask) + 1
         if n <= 0:
             continue
         h = np.full(n, 0xA5A5 + number, np.uint64)
         for i, c in enumerate(mask):
             if c == "1":
-                h = (h + ids[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h + x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-        out.append((number, mix(h)))
+        out.append((-pad, mix(h)))
     return out
 
 
@@ -64,32 +100,34 @@ def bench_tokens(benchmark: DataFrame) -> DataFrame:
     return map_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, "item_id long, item array<long>")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_share: float = 0.8, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_share: float = 0.8, masks: tuple[str, ...] | None = None) -> DataFrame:
     """Overlaps of documents with benchmark items: doc_id, a, b (the text's hashes), item_id, doc_start, item_start, n_words, n_equal.
 
-    Words are runs without white space, A-Z lower-cased, without punctuation at their ends. Fixed masks pick
-    words out of every window of 12; a window of a document and one of an item with equal picked words are a hit. Around
+    Words are runs without white space, A-Z lower-cased, without punctuation at their ends. Masks (``masks_for`` by default) pick
+    words out of every window; a window of a document and one of an item with equal picked words are a hit. Around
     a hit the texts are compared word by word; substituted words count against the overlap. An overlap holds where
-    ``min_share`` of its words are equal and those are ``min_words`` or more (or 80 % of a shorter item). Items of
-    fewer than 12 words are looked for as a whole.
+    ``min_share`` of its words are equal and those are ``min_words`` or more (or 80 % of a shorter item). Items too
+    short for ``min_words`` have masks of their own length (``item_masks``).
 
     Documents are hashed where they are read. A filter of fixed size (three bitmaps of 2^21 bits, whatever the benchmark) sorts out
     nearly all windows whose hash no item has; the rest are joined with the items' hashes, and only documents with a hit send their words on.
     """
     spark = prepare(docs.sparkSession)
     items = cut(bench_tokens(benchmark), "items")
-    span = len(masks[0])
-    short = tuple(r[0] for r in items.where(F.size("item") < span).select(F.size("item")).distinct().sort("size(item)").collect())  # lengths: 11 at most
+    few = min(min_words, 12)
+    masks = masks or masks_for(few, min_share)
+    lengths = [r[0] for r in items.where(F.size("item") < 2 * few).select(F.size("item").alias("n")).distinct().sort("n").collect()]  # 23 at most
+    short = tuple(n for n in lengths if least_equal(n, few) < few)
 
     def item_seeds(b):
         out: dict[str, list] = {"item_id": [], "seed": [], "item_at": []}
         for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids = np.array(x, np.int64).view(np.uint64)
-            for number, h in seed_hashes(ids, masks, tuple(n for n in short if n == len(ids))):
+            own = tuple(n for n in short if n == len(ids))
+            for _, h in seed_hashes(ids, () if own else masks, own, whole=True):
                 out["item_id"] += [d] * len(h)
                 out["seed"] += h.view(np.int64).tolist()
                 out["item_at"] += range(len(h))
-                del number
         return out
 
     seeds = cut(map_batches(items, item_seeds, "item_id long, seed long, item_at int"), "seeds")
@@ -109,11 +147,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_sha
             for d, x, y, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 ids = h.of(words(t))
                 at, seed = [], []
-                for _, s in seed_hashes(ids, masks, short):
+                for first, s in seed_hashes(ids, masks, short):
                     hit = np.flatnonzero(have[0][(s >> np.uint64(RUNS[0])) & low])
                     for i, r in enumerate(RUNS[1:], 1):
                         hit = hit[have[i][(s[hit] >> np.uint64(r)) & low]]
-                    at.append(hit.astype(np.int32))
+                    at.append((hit + first).astype(np.int32))
                     seed.append(s[hit].view(np.int64))
                 if sum(map(len, at)):
                     for k, v in zip(out, (d, x, y, np.concatenate(at), np.concatenate(seed), ids.view(np.int64)), strict=True):
@@ -138,7 +176,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_sha
         for i, (d, x, y, it, g, at) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "a", "b", "item_id", "diagonal", "item_at")), strict=True)):
             p, q = doc[i].values.to_numpy(), item[i].values.to_numpy()
             equal, n, start = best_overlap(p, q, g, at)
-            if equal >= min_share * n and equal >= min(min_words, 0.8 * len(q)):
+            if equal >= min_share * n and equal >= least_equal(len(q), min_words):
                 for k, v in zip(out, (d, x, y, it, start + g, start, n, equal), strict=True):
                     out[k].append(v)
         return out if out["doc_id"] else None
