@@ -68,21 +68,29 @@ def seed_hashes(ids: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...]
     return out
 
 
-def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, at: int) -> tuple[int, int, int]:
-    """The best-scoring stretch around a hit where ``doc`` is laid on ``item`` (doc place = item place + diagonal).
+def diagonal_overlaps(same: np.ndarray, need: float, share: float) -> list[tuple[int, int, int]]:
+    """Stretches of a diagonal with ``need`` equal words or more, ``share`` of them equal: start, length, equal words.
 
-    A matching word scores 1 and a substituted one -2; ``at`` is a place in the item inside the hit. Returns matching words, length, start in the item.
+    The stretch with the most equal words, then the same to its left and to its right; empty only if no stretch holds.
     """
-    lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    same = item[lo:hi] == doc[lo + diagonal : hi + diagonal]
-    score = np.where(same, 1, -2)
-    k = min(max(at - lo, 0), len(score) - 1)
-    right = np.cumsum(score[k:])
-    left = np.cumsum(score[:k][::-1])
-    r = k + int(np.argmax(right)) + 1
-    left_best = int(np.argmax(left)) + 1 if len(left) and left.max() > 0 else 0
-    s = k - left_best
-    return int(same[s:r].sum()), r - s, lo + s
+    out, todo = [], [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        equal = np.concatenate([[0], np.cumsum(same[lo:hi])])
+        if equal[-1] < need - 1e-9:
+            continue
+        level = np.round(equal - share * np.arange(hi - lo + 1), 9)
+        # for each end the first start from which the share holds
+        start = np.searchsorted(-np.minimum.accumulate(level), -level)
+        gain = equal - equal[start]
+        j = int(gain.argmax())
+        if gain[j] < max(need - 1e-9, 1):
+            continue
+        i = lo + int(start[j])
+        i += int(same[i : lo + j].argmax())
+        out.append((i, lo + j - i, int(gain[j])))
+        todo += [(lo, i), (lo + j, hi)]
+    return out
 
 
 def bench_tokens(benchmark: DataFrame) -> DataFrame:
@@ -104,8 +112,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_sha
     """Overlaps of documents with benchmark items: doc_id, a, b (the text's hashes), item_id, doc_start, item_start, n_words, n_equal.
 
     Words are runs without white space, A-Z lower-cased, without punctuation at their ends. Masks (``masks_for`` by default) pick
-    words out of every window; a window of a document and one of an item with equal picked words are a hit. Around
-    a hit the texts are compared word by word; substituted words count against the overlap. An overlap holds where
+    words out of every window; a window of a document and one of an item with equal picked words are a hit. The texts
+    are compared word by word along the whole diagonal of a hit. An overlap holds where
     ``min_share`` of its words are equal and those are ``min_words`` or more (or 80 % of a shorter item). Items too
     short for ``min_words`` have masks of their own length (``item_masks``).
 
@@ -164,25 +172,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 12, min_sha
     probed = cut(rows.mapInArrow(probe, "doc_id long, a long, b long, at array<int>, seed array<long>, tokens array<long>"), "probed")
     hits = probed.select("doc_id", "a", "b", F.explode(F.arrays_zip("at", "seed")).alias("h")).select("doc_id", "a", "b", F.col("h.at").alias("doc_at"), F.col("h.seed").alias("seed"))
     lines = hits.join(seeds, "seed").withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
-    # one place a diagonal and 32 words is enough to look around
-    lines = lines.groupBy("doc_id", "a", "b", "item_id", "diagonal", (F.col("item_at") / 32).cast("int")).agg(F.min("item_at").alias("item_at"))
-    lines = lines.withColumn("key", F.struct("doc_id", "a", "b")).drop("doc_id", "a", "b")
+    lines = lines.select(F.struct("doc_id", "a", "b").alias("k"), "item_id", "diagonal").distinct()
     texts = probed.select(F.struct("doc_id", "a", "b").alias("key"), "tokens").dropDuplicates(["key"])
-    pairs = lines.join(items, "item_id").withColumnRenamed("key", "k").join(texts, F.col("k").eqNullSafe(F.col("key"))).select("key.doc_id", "key.a", "key.b", "item_id", "diagonal", "item_at", "tokens", "item")
+    pairs = lines.join(items, "item_id").join(texts, F.col("k").eqNullSafe(F.col("key")))
+    # where the two lie on one another
+    lo, hi = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("item"), F.size("tokens") - F.col("diagonal"))
+    part = lambda c, at: F.slice(c, at + 1, hi - lo)
+    pairs = pairs.select("key.doc_id", "key.a", "key.b", "item_id", "diagonal", lo.alias("lo"), F.size("item").alias("n"), part("tokens", lo + F.col("diagonal")).alias("tokens"), part("item", lo).alias("item"))
 
     def verify(b):
         out: dict[str, list] = {k: [] for k in ("doc_id", "a", "b", "item_id", "doc_start", "item_start", "n_words", "n_equal")}
         doc, item = b.column("tokens"), b.column("item")
-        for i, (d, x, y, it, g, at) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "a", "b", "item_id", "diagonal", "item_at")), strict=True)):
-            p, q = doc[i].values.to_numpy(), item[i].values.to_numpy()
-            equal, n, start = best_overlap(p, q, g, at)
-            if equal >= min_share * n and equal >= least_equal(len(q), min_words):
-                for k, v in zip(out, (d, x, y, it, start + g, start, n, equal), strict=True):
+        for i, (d, x, y, it, g, lo, size) in enumerate(zip(*(b.column(k).to_pylist() for k in ("doc_id", "a", "b", "item_id", "diagonal", "lo", "n")), strict=True)):
+            same = doc[i].values.to_numpy() == item[i].values.to_numpy()
+            for start, n, equal in diagonal_overlaps(same, least_equal(size, min_words), min_share):
+                for k, v in zip(out, (d, x, y, it, lo + start + g, lo + start, n, equal), strict=True):
                     out[k].append(v)
         return out if out["doc_id"] else None
 
-    found = map_batches(pairs, verify, "doc_id long, a long, b long, item_id long, doc_start int, item_start int, n_words int, n_equal int")
-    return found.dropDuplicates()
+    return map_batches(pairs, verify, "doc_id long, a long, b long, item_id long, doc_start int, item_start int, n_words int, n_equal int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

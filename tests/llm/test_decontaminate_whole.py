@@ -51,3 +51,37 @@ def test_sparse_overlaps_and_short_items_are_found(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(three))], "item_id long, text string")
     got = {r.doc_id: list(r.item_ids) for r in decontaminate.decontaminate(frame, bench).collect()}
     assert got == {1: [1], 2: [2], 3: [], 4: [3], 5: [2]}
+
+
+def brute_overlaps(doc, item, words=12, share=0.8):
+    """Whether any stretch of any alignment holds."""
+    need = min(words, 0.8 * len(item))
+    for g in range(-len(item) + 1, len(doc)):
+        same = [doc[i + g] == w for i, w in enumerate(item) if 0 <= i + g < len(doc)]
+        for i in range(len(same)):
+            equal = 0
+            for j in range(i, len(same)):
+                equal += same[j]
+                if equal >= need and equal >= share * (j - i + 1) - 1e-9:
+                    return True
+    return False
+
+
+def test_decontamination_matches_brute_force(spark):
+    r = np.random.default_rng(5)
+    items = [[f"i{k}w{i}" for i in range(n)] for k, n in enumerate((38, 32, 15, 16, 20, 25, 59, 120, 5, 10, 12, 13, 14))]
+    docs = []
+    for item in items:
+        for share in (0.1, 0.15, 0.2, 0.25, 0.3):
+            for _ in range(8):
+                lo, hi = (0, len(item)) if r.random() < 0.5 else sorted(r.integers(0, len(item) + 1, 2).tolist())
+                own = ["other" if r.random() < share else w for w in item[lo:hi]]
+                docs.append(["before"] * int(r.integers(0, 3)) + own + ["after"] * int(r.integers(0, 3)))
+    weak = ["other" if i in (6, 7, 8, 9, *range(12, 18)) else w for i, w in enumerate(items[0])]
+    docs += [weak, items[1][:2] + ["other"] * 16 + items[1][18:]]
+    assert brute_overlaps(docs[-2], items[0]) and brute_overlaps(docs[-1], items[1])
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: list(x.item_ids) for x in decontaminate.decontaminate(frame, bench).collect()}
+    want = {d: [k for k, item in enumerate(items) if brute_overlaps(t, item)] for d, t in enumerate(docs)}
+    assert got == want and 50 < sum(map(bool, want.values())) < len(docs) - 50
