@@ -80,52 +80,59 @@ def upper_bound(rejected: int, n: int, wrong: float) -> float:
     return hi
 
 
-def choose_cutoffs(rows: pd.DataFrame, risk: float = 0.01, wrong: float = 0.05) -> dict[str, dict[str, float]]:
+def choose_cutoffs(rows: DataFrame, risk: float = 0.01, wrong: float = 0.05) -> dict[str, dict[str, float]]:
     """Cutoffs for each stratum, from rows of (stratum, good, fit, one column for each rule).
 
     On the ``fit`` half, a level's cutoffs are that quantile of each share among good documents and a margin. On the other half, a level
     passes while the exact upper bound of the share of good documents that its rules reject together is at most ``risk``. Levels are
     tried from the mildest on and the first failure ends it, so the levels need no correction; strata share ``wrong`` equally (Bonferroni). Of
     the levels that pass, the mildest one that rejects the most poor documents of the fit half is taken. A stratum where none passes has no rules.
+
+    Quantiles and counts are aggregates over all rows; the driver sees the numbers of each stratum and level. For the quantiles, shares are
+    rounded up to 1e-5, so that a stratum's state has 100,001 values a rule at most.
     """
+    up = lambda r: F.ceil(F.col(r) * 100_000) / 100_000
+    levels = F.array(*map(F.lit, LEVELS))
+    edges = rows.where("fit AND good").groupBy("stratum").agg(*(F.percentile(up(r), levels).alias(f"_{r}") for r in RULES))
+    edges = edges.select("stratum", *(F.transform(f"_{r}", lambda q: q * 1.25 + 0.03).alias(f"_{r}") for r in RULES))
+    reject = [F.greatest(*(F.col(r) > F.col(f"_{r}")[k] for r in RULES)) for k in range(len(LEVELS))]
+    held, poor = ~F.col("fit") & F.col("good"), F.col("fit") & ~F.col("good")
+    counts = [F.count_if(which & x).alias(f"{name}{k}") for name, which in (("h", held), ("p", poor)) for k, x in enumerate(reject)]
+    first = [F.first(f"_{r}", True).alias(f"_{r}") for r in RULES]
+    found = rows.join(F.broadcast(edges), "stratum", "left").groupBy("stratum").agg(F.count_if(held).alias("n"), *first, *counts).collect()  # a row for each stratum
     out: dict[str, dict[str, float]] = {}
-    strata = sorted(rows["stratum"].unique())
-    for s in strata:
-        own = rows[rows["stratum"] == s]
-        fit, held = own[own["fit"]], own[~own["fit"] & own["good"]]
-        good, poor, best = fit[fit["good"]], fit[~fit["good"]], -1
-        if good.empty:
-            continue
-        for level in LEVELS:
-            cutoffs = {r: float(np.quantile(good[r], level)) * 1.25 + 0.03 for r in RULES}
-            reject = lambda x: np.logical_or.reduce([x[r].to_numpy() > c for r, c in cutoffs.items()])  # noqa: E731, B023
-            if upper_bound(int(reject(held).sum()), len(held), wrong / len(strata)) > risk:
+    for f in sorted(found, key=lambda f: f["stratum"]):
+        best = -1
+        for k in range(len(LEVELS) if f["_symbols"] is not None else 0):
+            # more than that share rejected: the bound is larger still
+            if f[f"h{k}"] > risk * f["n"] or upper_bound(f[f"h{k}"], f["n"], wrong / len(found)) > risk:
                 break
-            if (caught := int(reject(poor).sum())) > best:
-                best, out[s] = caught, cutoffs
+            if f[f"p{k}"] > best:
+                best, out[f["stratum"]] = f[f"p{k}"], {r: f[f"_{r}"][k] for r in RULES}
     return out
 
 
-def labelled_rows(features: DataFrame, labels: DataFrame, stratum: str, max_rows: int) -> pd.DataFrame:
-    """Shares of at most ``max_rows`` labelled documents that pass the base rules, those with the smallest hashes of their id."""
+def labelled_rows(features: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """Shares of all labelled documents that pass the base rules."""
     chosen = labels.dropna(subset=["doc_id", "quality"]).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(6), "_id"), "_id").limit(max_rows)
-    joined = features.join(F.broadcast(chosen), features["doc_id"].cast("long") == chosen["_id"])  # bounded by max_rows
     # what the base rules reject needs no cutoffs; copies of an id count once
-    joined = joined.where(~F.expr(BASE_FAILED)).select("_id", F.col(stratum).alias("stratum"), (F.col("_q") >= 1).alias("good"), (F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(2)) == 0).alias("fit"), *(F.expr(x).alias(n) for n, x in RULES.items())).dropDuplicates(["_id"])
-    return joined.toPandas().fillna({"stratum": ""})
+    place = F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
+    own = features.where(~F.expr(BASE_FAILED)).select(F.col("doc_id").cast("long").alias("_id"), F.struct(place, *(F.expr(x).alias(n) for n, x in RULES.items())).alias("_s"))
+    own = own.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_s").alias("_s"))
+    joined = own.join(chosen, "_id")
+    return joined.select("_s.*", (F.col("_q") >= 1).alias("good"), (F.pmod(F.xxhash64(F.lit(7), "_id"), F.lit(2)) == 0).alias("fit"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, wrong: float = 0.05, max_rows: int = 20_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.01, wrong: float = 0.05) -> DataFrame:
     """``docs`` (without the text) with counts, ``base_failed``, ``rejected_by`` (sorted names of rules) and ``kept``.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated 3-word windows. The rules' cutoffs hold for a
     stratum; with probability 1 - ``wrong`` no stratum's rules reject more than ``risk`` of its good documents (see ``choose_cutoffs``;
-    labelled holdout of ``max_rows`` at most). A stratum without labels enough for the bound has no rules. Null text has no words.
+    all labelled rows count). A stratum without labels enough for the bound has no rules. Null text has no words.
     Null strata form one stratum; ids may be null or repeat; other columns stay.
     """
     features = cut(with_features(docs).drop("text"), "quality")
-    cutoffs = choose_cutoffs(labelled_rows(features, labels, stratum, max_rows), risk, wrong)
+    cutoffs = choose_cutoffs(cut(labelled_rows(features, labels, stratum), "labelled"), risk, wrong)
     place = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
     found = []
     for rule, share in RULES.items():
