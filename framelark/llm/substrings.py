@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ._shared import cut, documents, fingerprint, map_batches, mix, prepare, release
 
 K, LENGTH = 24, 50
+#: Distinct contexts of one anchor that are sorted in one bucket. More of them are reduced window by window.
+MOST = 1000
 BITS = 26
 _A, _B, _POS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 30) - 1)
 
@@ -60,6 +62,7 @@ def _shared_anchors(unique: DataFrame, buckets: int) -> DataFrame:
         if not own:
             return None
         h = np.sort(np.concatenate(own))
+        h = h[np.concatenate([np.ones(min(2, len(h)), bool), h[2:] != h[:-2]])]  # two of a hash tell as much as many
         at = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         edges = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
         full = [k for k in range(buckets) if edges[k] < edges[k + 1]]
@@ -92,6 +95,49 @@ def _least_docs(contexts: DataFrame, buckets: int) -> DataFrame:
     return contexts.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")).applyInPandas(sort, "c binary, least binary")
 
 
+def _windows(batches):
+    for b in batches:
+        anchor, c = b.column("anchor").to_pylist(), b.column("c").to_pylist()
+        out: list[list] = [[], [], [], [], []]
+        for a, x, d, s in zip(anchor, c, b.column("doc_id").to_pylist(), b.column("context").to_pylist(), strict=True):
+            h = gram_hashes(np.frombuffer(s, np.uint8))[1].view(np.int64)
+            for o, v in zip(out, (np.full(len(h), a), h, np.full(len(h), d), np.arange(len(h), dtype=np.int32)), strict=False):
+                o.append(v)
+            out[4] += [x] * len(h)
+        if out[4]:
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(o)) for o in out[:4]), pa.array(out[4], pa.binary())], names=["anchor", "h", "doc_id", "i", "c"])
+
+
+def _least_docs_by_window(contexts: DataFrame) -> DataFrame:
+    """As ``_least_docs``, for anchors with any number of contexts: a row for each window of 50 bytes, reduced before and after the shuffle.
+
+    Windows of one document only need no answer. The commonest windows, 10,000 at most, are answered by broadcast, so no key of the join has
+    more than 1/10,000 of the rows.
+    """
+    windows = cut(contexts.mapInArrow(_windows, "anchor long, h long, doc_id long, i int, c binary"), "windows")
+    total = windows.count()
+    low = windows.groupBy("anchor", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    low = cut(low.where("low < high"), "low")
+    common = F.col("n") > max(MOST, total // 10_000)
+    few, many = low.where(~common).select("anchor", "h", "low"), low.where(common).select("anchor", "h", F.col("low").alias("top"))
+    rest = windows.join(F.broadcast(many), ["anchor", "h"], "left").where("top IS NULL OR top < doc_id")
+    known = rest.where("top IS NOT NULL").select("c", "i", F.col("top").alias("low"))
+    joined = rest.where("top IS NULL").join(few, ["anchor", "h"]).where("low < doc_id").select("c", "i", "low")
+    got = known.unionByName(joined).groupBy("c").agg(F.collect_list(F.struct("i", "low")).alias("w"))
+
+    def fill(b):
+        out: dict[str, list] = {"c": [], "least": []}
+        for c, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            at = w.values.field("i").to_numpy()
+            x = np.full(int(at.max()) + 1, (1 << 63) - 1, "<i8")
+            x[at] = w.values.field("low").to_numpy()
+            out["c"].append(c)
+            out["least"].append(x.tobytes())
+        return out
+
+    return map_batches(got, fill, "c binary, least binary")
+
+
 def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay; with ``digest`` their SHA-256).
 
@@ -100,7 +146,8 @@ def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     Of equal texts only the one with the least doc_id is searched; the others go whole. Every 50-byte string has an anchor, which depends on its
     bytes alone. Strings of anchors seen in one document can't repeat; a bitmap of fixed size (2^26 bits) sorts most of them out, and what
-    passes by chance costs time only. The stretches around the other anchors are sorted by hash in buckets, equal stretches once.
+    passes by chance costs time only. The stretches around the other anchors are sorted by hash in buckets, equal stretches once. Where one
+    anchor has more than ``MOST`` different stretches (or 1/100,000 of all), its windows are reduced one by one instead, so no task holds them all.
     """
     spark = prepare(docs.sparkSession)
     big = (1 << 63) - 1
@@ -134,8 +181,15 @@ def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "c", "doc_id", "a", "b", "at", "context"])
 
     found = cut(unique.select("doc_id", "text", "a", "b").mapInArrow(around, "anchor long, c binary, doc_id long, a long, b long, at int, context binary"), "around")
-    distinct = found.groupBy("anchor", "c").agg(F.min("doc_id").alias("doc_id"), F.first("context").alias("context"))
-    least = cut(_least_docs(distinct, buckets), "least")
+    sizes = found.select("anchor", "c").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
+    # 100,000 anchors at most
+    crowded = cut(sizes.where(F.col("m") > max(MOST, found.count() // 100_000)).select("anchor"), "crowded")
+    distinct = lambda how: found.join(F.broadcast(crowded), "anchor", how).groupBy("anchor", "c").agg(F.min("doc_id").alias("doc_id"), F.first("context").alias("context"))
+    least = _least_docs(distinct("left_anti"), buckets)
+    if not crowded.isEmpty():
+        least = least.unionByName(_least_docs_by_window(distinct("left_semi")))
+    least = cut(least, "least")
+    release(crowded)
 
     def removed(b):
         out: dict[str, list] = {"a": [], "b": [], "spans": []}
