@@ -65,13 +65,14 @@ class KernelRidge:
 
 
 def fit_language(labelled: DataFrame, rows_each: int = 800) -> KernelRidge | None:
-    """Fit on about ``rows_each`` documents of each language at most (text, lang), chosen by a hash of the text.
+    """Fit on about ``rows_each`` different texts of each language at most (text, lang), chosen by a hash of the text.
 
     Null languages and texts without a letter are left out. The number of languages is taken to be small (it is that of the labels, not of the documents).
     """
     spark = prepare(labelled.sparkSession)
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    # copies of a text are drawn together, so they count once
+    counts = {r["lang"]: r["count"] for r in usable.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
     if not counts:
         return None
     rate = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, rows_each / n))))
