@@ -25,11 +25,18 @@ def drop_lines(spark, docs, sf_dir: str):
 
 
 def drop_near_duplicates(spark, docs, sf_dir: str):
-    """One document of each group of near duplicates, the one with the least doc_id."""
-    groups = near_groups(docs).where("kept").select("doc_id", "a", "b").distinct()
+    """One row of each group of near duplicates, one with the least doc_id (null: the largest); documents without words are in no group and stay."""
+    keys = near_groups(docs).groupBy("doc_id", "a", "b").agg(F.first("component").alias("component"), F.count(F.lit(1)).alias("n"))
+    keys = cut(keys, "keys")
+    least = keys.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "n")).alias("x"))
+    wordless = keys.where("component IS NULL").select("doc_id", "a", "b", F.lit(False).alias("many"))
+    chosen = least.select("x.doc_id", "x.a", "x.b", (F.col("x.n") > 1).alias("many")).unionByName(wordless).withColumnRenamed("doc_id", "id")
     keyed = docs.withColumn("_f", fingerprint())
-    same = keyed["doc_id"].cast("long").eqNullSafe(groups["doc_id"]) & (keyed["_f.a"] == groups["a"]) & (keyed["_f.b"] == groups["b"])
-    return keyed.join(groups, same, "left_semi").select(COLUMNS)
+    same = keyed["doc_id"].cast("long").eqNullSafe(chosen["id"]) & (keyed["_f.a"] == chosen["a"]) & (keyed["_f.b"] == chosen["b"])
+    rows = keyed.join(chosen, same)
+    # rows equal in id and text: one of them
+    one = rows.where("many").groupBy("id", "a", "b").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return rows.where("NOT many").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def drop_contaminated(spark, docs, sf_dir: str):

@@ -188,7 +188,8 @@ def _likely_pairs(mixed: DataFrame, percent: int, best: bool) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, a, b (hashes of its text), n_shingles, component_id, kept.
+    """A row for each row of ``docs``: doc_id, a, b (hashes of its text), n_shingles, component_id, kept, component (binary: a class of
+    the component; null for a document without words).
 
     A document's set has its distinct ``k``-word shingles (see ``shingles``); words are runs without white space, A-Z lower-cased. Documents
     are linked where 100 * intersection >= ``percent`` * union, and ``component_id`` is the least doc_id reachable, itself included.
@@ -231,9 +232,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             groups = components(links)
     ids = classes.select("c", F.col("least.doc_id").alias("least"), "rows").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = cut(ids.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "component_id"), "least")
-    named = cut(ids.select("c", "root").join(least, "root").select("c", "component_id"), "named")
+    named = cut(ids.select("c", "root").join(least, "root").select("c", "root", "component_id"), "named")
     out = signed.select("doc_id", "a", "b", "n", "c").join(named, "c", "left")
-    out = out.select("doc_id", "a", "b", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.withColumn("component", F.when(F.col("n") > 0, F.coalesce("root", "c")))
+    out = out.select("doc_id", "a", "b", "component", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
