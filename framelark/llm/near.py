@@ -15,6 +15,8 @@ SLOTS, BANDS = 128, 32
 LIKELY = 0.64
 #: Shingles (and 64 a row), or rows, of a block.
 SET_BLOCK, SIGNATURE_BLOCK = 1 << 18, 2048
+#: Edges that one task may take at the end of ``components``.
+LAST_EDGES = 50_000
 _GOLD, _TOP = np.uint64(0x9E3779B97F4A7C15), ~np.uint64(0)
 _STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * _GOLD
 
@@ -95,7 +97,8 @@ def components(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
     """(c, root) for every node of ``edges`` (u, v: binary); nodes with one root are connected. Tables written on the way are added to ``made``.
 
     Each task first contracts its own edges with union-find. Then, round by round, each node is merged into the neighbour with the least
-    random priority (its own included), which leaves a fraction of the nodes; edges follow. The rounds' parents are then composed backwards.
+    random priority (its own included), which leaves a fraction of the nodes; edges follow, until ``LAST_EDGES`` at most are left for a last
+    union-find. The rounds' parents are then composed backwards.
     """
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -104,7 +107,7 @@ def components(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
 
     levels, salt = [], 0
     edges = keep(edges.mapInArrow(local_union, "u binary, v binary"), "edges")
-    while not edges.isEmpty():
+    while edges.count() > LAST_EDGES:
         rank = lambda x: F.xxhash64(F.lit(salt), x)  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.struct(rank("v").alias("r"), "v")).alias("m"))
@@ -113,11 +116,10 @@ def components(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
         step = edges.join(parents, edges["u"] == parents["c"]).select(F.col("p").alias("pu"), "v")
         step = step.join(parents, step["v"] == parents["c"]).select(F.col("pu").alias("u"), F.col("p").alias("v")).where("u <> v").distinct()
         edges, salt = keep(step.mapInArrow(local_union, "u binary, v binary"), "edges"), salt + 1
-    spark = edges.sparkSession
-    if not levels:
-        return spark.createDataFrame([], "c binary, root binary")
-    roots = levels[-1].withColumnRenamed("p", "root")
-    for parents in reversed(levels[:-1]):
+    last = edges.coalesce(1).mapInArrow(local_union, "u binary, v binary")
+    roots = keep(last.select(F.col("u").alias("c"), F.col("v").alias("root")), "last")
+    roots = roots.unionByName(roots.select(F.col("root").alias("c"), "root").distinct())
+    for parents in reversed(levels):
         up = roots.select(F.col("c").alias("q"), "root")
         roots = parents.join(up, parents["p"] == up["q"], "left").select("c", F.coalesce("root", "p").alias("root"))
     return keep(roots, "roots")
