@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text
 from ..operators import intervals, pool, score, sequence, stats, validate
 from ..sources import frames as src
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles cut to ``places``, so that the order of a sum doesn't show."""
-    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+from . import clips as _clips
+from ._base import rounded
 
 
 def _scores(spark, d):
@@ -169,3 +166,7 @@ ORACLE_SQL: dict[str, str] = {
     "jn9_anti": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "sf_numbers": "SELECT event_id, regexp_extract_all(props, '-?\\d+(?:\\.\\d+)?')[-1]::DOUBLE AS k, left(regexp_replace(props, '\\s+', '', 'g'), 4) AS head FROM events",
 }
+
+for _part in (_clips,):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)

@@ -26,6 +26,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("entity"), F.col("l_linenumber").alias("frame"), F.col("l_returnflag").alias("cls"), (1 - F.col("l_discount") * 5).alias("conf"), (F.col("l_quantity") / 50).alias("area"), ((F.col("l_partkey") % 1000) / 1000.0).alias("c"), "l_orderkey", "l_extendedprice")
 
 
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as clips: w, h, target ratio tw:th, n_frames."""
+    even = F.col("o_orderkey") % 2 == 0
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"), (360 + F.col("o_orderkey") % 5 * 90).cast("double").alias("w"), F.lit(640.0).alias("h"), F.when(even, 16.0).otherwise(9.0).alias("tw"), F.when(even, 9.0).otherwise(16.0).alias("th"), F.lit(8).alias("n_frames"))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as series: entity (user), frame (place in time), value, event_type."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -6,7 +6,7 @@ import pytest
 from framelark.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "labels"]
 
 
 @pytest.fixture(scope="module")
