@@ -33,3 +33,15 @@ def gate(centers: DataFrame, entities: DataFrame, threshold: float) -> DataFrame
 def overlay(base: DataFrame, patch: DataFrame, key: str, value: str) -> DataFrame:
     """``base`` with ``value`` replaced where ``patch`` has the key."""
     return base.join(patch.select(key, F.col(value).alias("_new"), F.lit(True).alias("patched")), key, "left").withColumn(value, F.when(F.col("patched"), F.col("_new")).otherwise(F.col(value))).withColumn("patched", F.coalesce("patched", F.lit(False))).drop("_new")
+
+
+def clutter(samples: DataFrame, dets: DataFrame) -> DataFrame:
+    """Per entity of ``samples`` (entity, frame): mean number of detections (frame) over all sampled frames, those without any included."""
+    counts = dets.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
+    return samples.join(counts, "frame", "left").groupBy("entity").agg(F.avg(F.coalesce("n", F.lit(0))).alias("clutter"), F.count(F.lit(1)).alias("n_frames"))
+
+
+def switch_rate(series: DataFrame, name: str) -> DataFrame:
+    """Per entity: how often ``name`` changes from one sample to the next, among the n - 1 steps."""
+    before = F.lag(name).over(Window.partitionBy("entity").orderBy("frame"))
+    return series.withColumn("_s", (F.col(name) != before).cast("int")).groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("n"), F.avg("_s").alias("rate"))
