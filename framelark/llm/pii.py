@@ -33,19 +33,34 @@ KINDS = [*BASE, *ADDED]
 LABELERS = ["strict", "gazetteer", "assigned", "alphabet", "apart"]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def running(numbers: Column, block: int = 256) -> Column:
+    """Sums up to each number and with it. Blocks are summed first, so that n numbers take n * ``block`` steps and not n * n."""
+    cut_up = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(x) / block).cast("int") - 1)), lambda b: F.slice(x, b * block + 1, F.lit(block)))
+    inside = lambda b, before: F.transform(b, lambda _, j: before + total(F.slice(b, F.lit(1), j + 1)))
+    return let(numbers, lambda x: let(cut_up(x), lambda blocks: let(F.transform(blocks, total), lambda sums: F.flatten(F.transform(blocks, lambda b, i: let(total(F.slice(sums, F.lit(1), i)), lambda before: inside(b, before)))))))
+
+
 def find(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, text>> in code points.
 
     What stands between matches and the matches' own lengths add up to their places.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    both = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))).alias("out"),
-    )
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def places(m: Column) -> Column:
+        lengths = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda x, g: F.length(x) + F.length(g))
+        return F.zip_with(m, running(lengths), lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("text")))
+
+    return let(matches, places)
 
 
 def digits(s: Column) -> Column:
@@ -84,11 +99,12 @@ def spans(text: Column, kind: str, pattern: str, check=None, need: Column | None
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` (spans of the base kinds) and ``more``: further candidates that touch no base span, with the labelers' votes."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """For each row of ``docs``: ``row`` (its columns without the text), ``base`` (spans of the base kinds), ``anchor`` (the same with the
+    labelers' votes) and ``more``: further candidates that touch no base span, with votes."""
     digit = F.col("_t").rlike("[0-9]")
     need = {"email": F.col("_t").contains("@"), "ip": digit, "card": F.col("_t").rlike("[0-9](?:[ -]?[0-9]){13}"), "phone": F.col("_t").contains("+"), "local_phone": digit, "secret": digit, "iban": digit}
-    rows = docs.withColumn("_t", text)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "base", "found")]
+    rows = docs.select(F.struct(*rest, F.lit(None).cast("int").alias("_none")).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(spans(F.col("_t"), k, p, CHECKS[k], need[k]) for k, p in BASE.items()))))
     added = F.concat(*(spans(F.col("_t"), k, p, None, need[k]) for k, p in ADDED.items()))
     rows = rows.withColumn("more", F.array_sort(F.filter(added, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
@@ -116,73 +132,85 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("more", F.transform("more", vote)).withColumn("anchor", F.transform("base", vote)).drop("_t")
 
 
-def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 100) -> dict[tuple[int, int], float]:
+#: Labelers that say something about base spans; the others abstain there. On the added kinds all of them vote.
+ON_BASE = ("strict", "apart")
+
+
+def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 200) -> dict[tuple[int, int], float]:
     """Probability that a (kind, votes) pattern is personal data, by expectation-maximisation over how often each occurs.
 
     Two hidden classes; each labeler has a rate of voting yes in either, and each kind a share of true spans. It starts from
-    the share of yes votes; base kinds are known to be true. Then a logistic span classifier over votes and kinds is fitted to
-    the class probabilities; its answers are returned.
+    the share of yes votes; base kinds are known to be true, and there only the labelers of ``ON_BASE`` are counted. No labeler is taken to be worse than
+    chance: its rate of yes among true spans isn't below that among the others, so one more yes never lowers a probability. Then a logistic
+    span classifier over votes (no negative weights) and kinds is fitted to the class probabilities; its answers are returned.
     """
     if not counts:
         return {}
-    k, bits = len(LABELERS), lambda v: [v >> i & 1 for i in range(len(LABELERS))]
-    base = lambda kind: kind < len(BASE)
-    true = {p: 1.0 if base(p[0]) else 0.1 + 0.8 * sum(bits(p[1])) / k for p in counts}
+    k, base = len(LABELERS), lambda kind: kind < len(BASE)
+    votes = lambda p: [(i, p[1] >> i & 1) for i in range(k) if not base(p[0]) or LABELERS[i] in ON_BASE]
+    true = {p: 1.0 if base(p[0]) else 0.1 + 0.8 * sum(v for _, v in votes(p)) / k for p in counts}
     for _ in range(rounds):
-        yes, no = [1.0] * k, [1.0] * k
-        n_yes, n_no = 2.0, 2.0
+        # counts of (yes, all) for true and other spans, each begun with a little of what a fair labeler does
+        seen = [[[1.5, 2.0], [0.5, 2.0]] for _ in range(k)]
         share: dict[int, list[float]] = {}
         for p, n in counts.items():
             w = math.sqrt(n) if base(p[0]) else n  # anchors inform, but don't outnumber the rest
-            n_yes, n_no = n_yes + w * true[p], n_no + w * (1 - true[p])
             s = share.setdefault(p[0], [1.0, 2.0])
             s[0], s[1] = s[0] + w * true[p], s[1] + w
-            for i, b in enumerate(bits(p[1])):
-                yes[i] += w * true[p] * b
-                no[i] += w * (1 - true[p]) * b
+            for i, v in votes(p):
+                for c, part in enumerate((true[p], 1 - true[p])):
+                    seen[i][c][0] += w * part * v
+                    seen[i][c][1] += w * part
+        rates = []
+        for (y1, n1), (y0, n0) in seen:
+            a, b = y1 / n1, y0 / n0
+            a, b = (a, b) if a >= b else ((y1 + y0) / (n1 + n0),) * 2
+            rates.append((min(max(a, 0.02), 0.98), min(max(b, 0.02), 0.98)))
         new = {}
         for p in counts:
-            a, b = math.log(share[p[0]][0] / share[p[0]][1]), math.log(max(1e-9, 1 - share[p[0]][0] / share[p[0]][1]))
-            for i, v in enumerate(bits(p[1])):
-                py, pn = yes[i] / (n_yes + 0.0), no[i] / (n_no + 0.0)
-                py, pn = min(max(py, 0.02), 0.98), min(max(pn, 0.02), 0.98)
-                a, b = a + math.log(py if v else 1 - py), b + math.log(pn if v else 1 - pn)
-            new[p] = 1.0 if base(p[0]) else 1 / (1 + math.exp(min(50, max(-50, b - a))))
+            part = share[p[0]][0] / share[p[0]][1]
+            odds = math.log(part / max(1e-9, 1 - part)) + sum(math.log(rates[i][0] / rates[i][1]) if v else math.log((1 - rates[i][0]) / (1 - rates[i][1])) for i, v in votes(p))
+            new[p] = 1.0 if base(p[0]) else 1 / (1 + math.exp(-min(50, max(-50, odds))))
         moved = max(abs(new[p] - true[p]) for p in counts)
         true = new
         if moved < 1e-7:
             break
-    return _classifier(counts, true)
+    return _classifier({p: n for p, n in counts.items() if not base(p[0])}, true)
 
 
-def _classifier(counts, true) -> dict[tuple[int, int], float]:
-    """A ridge-penalised logistic model over votes and kinds, fitted by gradient steps to soft labels; its answer for every pattern."""
-    x = lambda p: [1.0, *(float(p[1] >> i & 1) for i in range(len(LABELERS))), *(float(p[0] == j) for j in range(len(KINDS)))]
-    w, total = [0.0] * (1 + len(LABELERS) + len(KINDS)), float(sum(counts.values()))
-    answer = lambda p: 1 / (1 + math.exp(-min(50, max(-50, sum(a * b for a, b in zip(w, x(p), strict=True))))))
-    for _ in range(2000):
+def _classifier(counts, true, rounds: int = 3000) -> dict[tuple[int, int], float]:
+    """A ridge-penalised logistic model over votes (weights of 0 or more) and the added kinds, fitted by gradient steps to soft labels; its answer for every pattern."""
+    kinds = range(len(BASE), len(KINDS))
+    x = lambda p: [1.0, *(float(p[1] >> i & 1) for i in range(len(LABELERS))), *(float(p[0] == j) for j in kinds)]
+    w, rows = [0.0] * (1 + len(LABELERS) + len(kinds)), [(x(p), n, true[p]) for p, n in counts.items()]
+    every = float(sum(n for _, n, _ in rows)) or 1.0
+    answer = lambda v: 1 / (1 + math.exp(-min(50, max(-50, sum(a * b for a, b in zip(w, v, strict=True))))))
+    for _ in range(rounds):
         grad = [1e-4 * v for v in w]
-        for p, n in counts.items():
-            e = n / total * (answer(p) - true[p])
-            grad = [g + e * v for g, v in zip(grad, x(p), strict=True)]
+        for v, n, t in rows:
+            e = n / every * (answer(v) - t)
+            grad = [g + e * f for g, f in zip(grad, v, strict=True)]
         w = [v - 1.0 * g for v, g in zip(w, grad, strict=True)]
-    return {p: answer(p) for p in itertools.product(range(len(BASE), len(KINDS)), range(1 << len(LABELERS)))}
+        w = [max(0.0, v) if 1 <= i <= len(LABELERS) else v for i, v in enumerate(w)]
+    return {p: answer(x(p)) for p in itertools.product(kinds, range(1 << len(LABELERS)))}
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` (without the text) with ``base`` and ``found``: arrays of (start, kind, end, text), by start, then kind.
 
     Base spans are those of the fixed patterns that pass their checks; ``found`` has these and the candidates the classifier takes. Null or
-    empty text has none. Places are code points, the end exclusive. Rows are judged by themselves; other columns stay.
+    empty text has none. Places are code points, the end exclusive. Rows are judged by themselves, so ids may be null or repeat; all other
+    columns stay, whatever their names (``base`` and ``found`` are replaced).
     The classifier is fitted on counts of vote patterns over all documents (7 kinds x 32 patterns at most).
     """
-    rows = cut(candidates(docs).drop("text"), "pii")
+    rows = cut(candidates(docs), "pii")
     one = rows.select(F.explode(F.concat("anchor", "more")).alias("s")).groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n"))
     p = reliabilities({(r["kind"], r["votes"]): r["n"] for r in one.collect()})  # 7 x 32 rows at most
     take = [k * 32 + v for (k, v), x in sorted(p.items()) if x >= threshold]
     taken = F.filter("more", lambda s: F.array_contains(F.lit(take).cast("array<int>") if take else F.array().cast("array<int>"), s["kind"] * 32 + s["votes"]))
     plain = F.transform(taken, lambda s: F.struct(s["start"], s["kind"], s["end"], s["text"]))
-    return rows.withColumn("found", F.array_sort(F.concat("base", plain))).drop("more", "anchor")
+    rest = [c for c in docs.columns if c not in ("text", "base", "found")]
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in rest), "base", F.array_sort(F.concat("base", plain)).alias("found"))
 
 
 def joined(column: str) -> Column:
@@ -194,7 +222,7 @@ def joined(column: str) -> Column:
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
     rows = personal_data(documents(spark, sf_dir).select("doc_id", "text"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", *map(n, BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"))
+    return rows.select("doc_id", *map(n, BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"), F.size("found").cast("long").alias("n_spans"), (F.size("found") > 0).alias("private"))
 
 
 __all__ = ["BASE", "KINDS", "candidates", "joined", "op5_personal_data", "personal_data", "reliabilities"]
