@@ -24,10 +24,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; only a local session may go without and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = f"file://{tempfile.gettempdir()}/framelark-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='framelark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -141,3 +143,11 @@ def shingles(ids: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(col: str = "text"):
     """Two 64-bit hashes of a text as one column, for rows that share an id."""
     return F.struct(F.xxhash64(F.lit(1), F.col(col)).alias("a"), F.xxhash64(F.lit(2), F.col(col)).alias("b"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with underscores, which no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, clean, cut, documents, fingerprint, map_batches, mix, prepare, words
+from ._shared import WordHashes, clean, cut, documents, fingerprint, fresh, map_batches, mix, prepare, words
 
 #: Masks of six words. 0: ignored. Every stretch of 12 equal words or more, 80 % or more of it equal, holds a hit of one of them wherever
 #: its substitutions lie (the tests enumerate this).
@@ -200,9 +200,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     judged by their own texts. All other columns of ``docs`` stay; columns named as these three are replaced. An empty benchmark finds nothing.
     """
     found = overlaps(docs, benchmark, **options).groupBy("doc_id", "a", "b").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count(F.lit(1)).alias("n_overlaps"))
-    found = found.select(F.struct("doc_id", "a", "b").alias("_f"), "item_ids", "n_overlaps")
-    rows = docs.drop("item_ids", "n_overlaps", "contaminated").withColumn("_k", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b")))
-    joined = rows.join(found, F.col("_k").eqNullSafe(F.col("_f")), "left").drop("_k", "_f")
+    rows = docs.drop("item_ids", "n_overlaps", "contaminated")
+    key, own = fresh(rows, "_key"), fresh(rows, "_own")
+    found = found.select(F.struct("doc_id", "a", "b").alias(own), "item_ids", "n_overlaps")
+    rows = rows.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b")))
+    joined = rows.join(found, F.col(key).eqNullSafe(F.col(own)), "left").drop(key, own)
     return joined.withColumn("contaminated", F.col("item_ids").isNotNull()).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<long>"))).withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0).cast("long")))
 
 

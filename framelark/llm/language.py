@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, prepare
+from ._shared import documents, fresh, prepare
 
 SIZE = 8192
 ORDERS = (1, 2, 3)
@@ -69,7 +69,7 @@ def fit_language(labelled: DataFrame, rows_each: int = 800) -> KernelRidge | Non
 
     Null languages and texts without a letter are left out. The number of languages is taken to be small (it is that of the labels, not of the documents).
     """
-    spark = prepare(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
     # copies of a text are drawn together, so they count once
     counts = {r["lang"]: r["count"] for r in usable.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().collect()}
@@ -88,7 +88,6 @@ def fit_language(labelled: DataFrame, rows_each: int = 800) -> KernelRidge | Non
     rows.sort(key=lambda r: (r["h"], r["lang"]))
     if not rows:
         return None
-    del spark
     return KernelRidge(unit([np.unpackbits(np.frombuffer(r["b"], np.uint8)) for r in rows]), [r["lang"] for r in rows])
 
 
@@ -113,8 +112,9 @@ def identify(docs: DataFrame, model: KernelRidge | None, batch: int = 128) -> Da
             scores[part] = s
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "_guess")]
-    return docs.select(*rest, guess("text").alias("_guess")).select(*rest, "_guess.lang_pred", "_guess.score")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    got = fresh(docs, "_guess")
+    return docs.select(*rest, guess("text").alias(got)).select(*rest, f"{got}.lang_pred", f"{got}.score")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

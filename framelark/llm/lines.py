@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, cut, documents, fingerprint, map_batches, n_partitions, prepare
+from ._shared import SPACE, cut, documents, fingerprint, fresh, map_batches, n_partitions, prepare
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 LINE = "doc_id long, a long, b long, n_lines int, h1 long, h2 long, positions binary"
@@ -152,9 +152,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     share one count once and lose lines alike; a null doc_id is a document of its own, smaller than all others. All columns of ``docs`` stay
     (columns named ``n_lines`` or ``n_dropped`` are replaced). No rows give no rows.
     """
-    bitmaps = line_bitmaps(docs, min_chars, min_docs).select(F.struct("doc_id", "a", "b").alias("_k"), F.col("n_dropped").alias("_n"), F.col("bitmap").alias("_bitmap"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_k", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b")))
-    joined = rows.join(bitmaps, rows["_k"].eqNullSafe(bitmaps["_k"]), "left").drop("_k")
+    rows = docs.drop("n_lines", "n_dropped")
+    key, own, lost, bits = (fresh(rows, n) for n in ("_key", "_own", "_lost", "_bitmap"))
+    bitmaps = line_bitmaps(docs, min_chars, min_docs).select(F.struct("doc_id", "a", "b").alias(own), F.col("n_dropped").alias(lost), F.col("bitmap").alias(bits))
+    rows = rows.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b")))
+    joined = rows.join(bitmaps, F.col(key).eqNullSafe(F.col(own)), "left").drop(key, own)
 
     @F.pandas_udf("string")
     def cut_lines(text, bitmap):
@@ -166,8 +168,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
 
         return pd.Series([t if m is None else one(t, m) for t, m in zip(text, bitmap, strict=True)], dtype=object)
 
-    counted = joined.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"))
-    return counted.withColumn("text", F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(cut_lines("text", "_bitmap"))).drop("_bitmap").withColumnRenamed("_n", "n_dropped").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
+    counted = joined.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")).withColumn("n_dropped", F.coalesce(lost, F.lit(0).cast("long")))
+    return counted.withColumn("text", F.when(F.col(bits).isNull(), F.col("text")).otherwise(cut_lines("text", bits))).drop(bits, lost)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

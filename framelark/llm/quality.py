@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, cut, documents, mix, prepare
+from ._shared import WordHashes, cut, documents, fresh, mix, prepare
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_marks", "n_worded_lines"]
@@ -61,8 +61,8 @@ def with_features(docs: DataFrame) -> DataFrame:
         h = WordHashes()
         return pd.DataFrame([count_features(t, h) for t in text], columns=names, dtype="int64")
 
-    rest = [c for c in docs.columns if c not in (*names, "_f")]
-    return docs.select(*rest, count("text").alias("_f")).select(*rest, *(F.col("_f")[n].alias(n) for n in names))
+    rest, got = [c for c in docs.columns if c not in names], fresh(docs, "_counts")
+    return docs.select(*rest, count("text").alias(got)).select(*rest, *(F.col(got)[n].alias(n) for n in names))
 
 
 def upper_bound(rejected: int, n: int, wrong: float) -> float:

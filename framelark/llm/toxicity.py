@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, clean, documents, prepare, words
+from ._shared import WordHashes, clean, documents, fresh, prepare, words
 
 FOLDS = 5
 
@@ -164,9 +164,10 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.2) -> DataF
         p[[not len(r) for r in rows]] = 0
         return pd.DataFrame(p, columns=names)
 
-    rest = [c for c in docs.columns if c not in (*names, "toxic", "_judged")]
-    judged = docs.select(*rest, judge("text").alias("_judged"))
-    return judged.select(*rest, *(F.col("_judged")[n].alias(n) for n in names), (F.col("_judged")[names[-1]] >= threshold).alias("toxic"))
+    rest = [c for c in docs.columns if c not in (*names, "toxic")]
+    got = fresh(docs, "_judged")
+    judged = docs.select(*rest, judge("text").alias(got))
+    return judged.select(*rest, *(F.col(got)[n].alias(n) for n in names), (F.col(got)[names[-1]] >= threshold).alias("toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
