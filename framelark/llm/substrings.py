@@ -183,7 +183,7 @@ def contexts(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def least_docs(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For every string of 50 bytes of some contexts the least document with it: the strings are sorted by their bytes, equal ones lie together.
+    """For every string of 50 bytes of some contexts the least document with it: the strings are sorted, equal ones by their bytes lie together.
 
     ``data``: the contexts' bytes one after another; ``begins``, ``counts``: where each starts and its number of strings; ``doc``: its document.
     """
@@ -193,14 +193,23 @@ def least_docs(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, doc: np
     word = np.zeros(len(data) + 8, np.uint64)
     for i in range(8):
         word = (word << np.uint64(8)) | padded[i : i + len(word)]
-    words = [word[at + o] for o in (0, 8, 16, 24, 32, 40, 42)]
-    # a hash of the words brings equal strings near one another, then the words themselves decide
-    order = np.lexsort(tuple(reversed(words)))
-    same = np.ones(len(at), bool)
-    same[:1] = False
-    for w in words:
-        s = w[order]
-        same[1:] &= s[1:] == s[:-1]
+    places = (0, 8, 16, 24, 32, 40, 42)
+    mixed = np.zeros(len(at), np.uint64)
+    for o in places:
+        mixed = mix(mixed * _A + word[at + o])
+    # a hash brings equal strings together, and the words decide; should two different strings share it, the words alone sort
+    order = np.argsort(mixed, kind="stable")
+    near, same = mixed[order][1:] == mixed[order][:-1], np.zeros(len(at), bool)
+    same[1:] = near
+    for o in places:
+        w = word[at[order] + o]
+        same[1:] &= w[1:] == w[:-1]
+    if (same[1:] != near).any():
+        words = [word[at + o] for o in places]
+        order, same = np.lexsort(tuple(reversed(words))), np.ones(len(at), bool)
+        same[:1] = False
+        for w in words:
+            same[1:] &= w[order][1:] == w[order][:-1]
     starts = np.flatnonzero(~same)
     low = np.minimum.reduceat(np.repeat(doc, counts)[order], starts) if len(at) else doc[:0]
     out = np.empty(len(at), np.int64)

@@ -45,3 +45,18 @@ def test_largest_id_stays(spark):
     check(spark, rows)
     out = substrings.repeated_bytes(spark.createDataFrame([*rows, (None, "y" * 60)], "doc_id long, text string")).collect()
     assert sorted((x.doc_id is None, x.n_removed) for x in out) == [(False, 0), (False, 0), (False, 55), (True, 60)]
+
+
+def test_bytes_decide_where_hashes_are_equal(monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [bytes(r.integers(97, 99, 60).astype(np.uint8)) for _ in range(30)]
+    texts += texts[:10]
+    data, sizes = np.frombuffer(b"".join(texts), np.uint8), np.full(40, 60)
+    doc, first = np.arange(40)[::-1].copy(), {}
+    for d, t in zip(doc, texts):
+        for i in range(11):
+            first[t[i : i + 50]] = min(first.get(t[i : i + 50], 99), d)
+    want = [first[t[i : i + 50]] for t in texts for i in range(11)]
+    for h in (substrings.mix, lambda x: x & np.uint64(3)):
+        monkeypatch.setattr(substrings, "mix", h)
+        assert substrings.least_docs(data, np.cumsum(sizes) - sizes, sizes - 49, doc).tolist() == want
