@@ -20,7 +20,7 @@ from ._shared import cut, documents, fingerprint, mix, prepare, release
 
 LENGTH = 50
 #: Bytes of text in a shard (a longer document makes a longer one), and of text for each bucket.
-SHARD_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+SHARD_BYTES, BUCKET_BYTES = 1 << 20, 2 << 20
 _A, _B, _POS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64((1 << 30) - 1)
 _NONE = (1 << 63) - 1
 SHARD = "shard binary, a array<long>, b array<long>, doc array<long>, sizes array<long>, data binary"
