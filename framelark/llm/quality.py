@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,9 @@ RULES = {
     "repeats": "n_repeat_words / greatest(n_words, 1)",
 }
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-#: Shares of good documents below a rule's cutoff, from the mildest rule set to the strictest.
-LEVELS = (1.0, 0.9995, 0.999, 0.998, 0.995, 0.99, 0.98)
+#: From the mildest rule set to the strictest: the share of good documents below a rule's cutoff, and how far the cutoff is then moved
+#: towards 1, where it would reject nothing. The ladder was laid down before any labels were looked at with it.
+LEVELS = ((1.0, 0.5), (1.0, 0.25), (1.0, 0.1), (1.0, 0.05), (1.0, 0.02), (1.0, 0.0), (0.999, 0.0), (0.995, 0.0), (0.99, 0.0))
 _DROP_SYMBOLS, _DROP_MARKS = {ord(c): None for c in "#*$%&|<>"}, {ord(c): None for c in "!?|"}
 
 
@@ -83,7 +85,7 @@ def upper_bound(rejected: int, n: int, wrong: float) -> float:
 def choose_cutoffs(rows: DataFrame, risk: float = 0.01, wrong: float = 0.05) -> dict[str, dict[str, float]]:
     """Cutoffs for each stratum, from rows of (stratum, good, fit, one column for each rule).
 
-    On the ``fit`` half, a level's cutoffs are that quantile of each share among good documents and a margin. On the other half, a level
+    On the ``fit`` half, a level's cutoffs are that quantile of each share among good documents, moved towards 1 (``LEVELS``). On the other half, a level
     passes while the exact upper bound of the share of good documents that its rules reject together is at most ``risk``. Levels are
     tried from the mildest on and the first failure ends it, so the levels need no correction; strata share ``wrong`` equally (Bonferroni). Of
     the levels that pass, the mildest one that rejects the most poor documents of the fit half is taken. A stratum where none passes has no rules.
@@ -92,9 +94,10 @@ def choose_cutoffs(rows: DataFrame, risk: float = 0.01, wrong: float = 0.05) ->
     rounded up to 1e-5, so that a stratum's state has 100,001 values a rule at most.
     """
     up = lambda r: F.ceil(F.col(r) * 100_000) / 100_000
-    levels = F.array(*map(F.lit, LEVELS))
+    levels = F.array(*(F.lit(q) for q, _ in LEVELS))
+    moved = F.array(*(F.lit(m) for _, m in LEVELS))
     edges = rows.where("fit AND good").groupBy("stratum").agg(*(F.percentile(up(r), levels).alias(f"_{r}") for r in RULES))
-    edges = edges.select("stratum", *(F.transform(f"_{r}", lambda q: q * 1.25 + 0.03).alias(f"_{r}") for r in RULES))
+    edges = edges.select("stratum", *(F.zip_with(f"_{r}", moved, lambda q, m: q + (1 - q) * m).alias(f"_{r}") for r in RULES))
     reject = [F.greatest(*(F.col(r) > F.col(f"_{r}")[k] for r in RULES)) for k in range(len(LEVELS))]
     held, poor = ~F.col("fit") & F.col("good"), F.col("fit") & ~F.col("good")
     counts = [F.count_if(which & x).alias(f"{name}{k}") for name, which in (("h", held), ("p", poor)) for k, x in enumerate(reject)]
@@ -102,16 +105,22 @@ def choose_cutoffs(rows: DataFrame, risk: float = 0.01, wrong: float = 0.05) ->
     found = rows.join(F.broadcast(edges), "stratum", "left").groupBy("stratum").agg(F.count_if(held).alias("n"), *first, *counts).collect()  # a row for each stratum
     out: dict[str, dict[str, float]] = {}
     for f in sorted(found, key=lambda f: f["stratum"]):
-        best = -1
-        for k in range(len(LEVELS) if f["_symbols"] is not None else 0):
-            # more than that share rejected: the bound is larger still
-            if f[f"h{k}"] > risk * f["n"] or upper_bound(f[f"h{k}"], f["n"], wrong / len(found)) > risk:
-                break
-            if f[f"p{k}"] > best:
-                best, out[f["stratum"]] = f[f"p{k}"], {r: f[f"_{r}"][k] for r in RULES}
+        passed = passing([f[f"h{k}"] for k in range(len(LEVELS))], f["n"], risk, wrong / len(found)) if f["_symbols"] is not None else 0
+        if passed:
+            best = max(range(passed), key=lambda k: (f[f"p{k}"], -k))
+            out[f["stratum"]] = {r: f[f"_{r}"][best] for r in RULES}
     return out
 
 
+def passing(rejected: list[int], n: int, risk: float, wrong: float) -> int:
+    """How many levels pass, from the mildest on: with ``rejected`` of ``n`` held-out good documents, the exact upper bound is ``risk`` at most."""
+    for k, r in enumerate(rejected):
+        # more than that share rejected: the bound is larger still
+        if r > risk * n or upper_bound(r, n, wrong) > risk:
+            return k
+    return len(rejected)
+
+
 def labelled_rows(features: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
     """Shares of all labelled documents that pass the base rules."""
     chosen = labels.dropna(subset=["doc_id", "quality"]).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
@@ -128,20 +137,17 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated 3-word windows. The rules' cutoffs hold for a
     stratum; with probability 1 - ``wrong`` no stratum's rules reject more than ``risk`` of its good documents (see ``choose_cutoffs``;
-    all labelled rows count). A stratum without labels enough for the bound has no rules. Null text has no words.
+    all labelled rows count; the cutoffs' ladder was fixed beforehand). A stratum without labels enough for the bound has no rules. Null text has no words.
     Null strata form one stratum; ids may be null or repeat; other columns stay.
     """
     features = cut(with_features(docs).drop("text"), "quality")
     cutoffs = choose_cutoffs(cut(labelled_rows(features, labels, stratum), "labelled"), risk, wrong)
-    place = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    found = []
-    for rule, share in RULES.items():
-        bounds = [x for s, c in cutoffs.items() for x in (F.lit(s), F.lit(c[rule]))]
-        over = F.expr(share) > F.create_map(*bounds)[place] if bounds else F.lit(False)
-        found.append(F.when(over, F.lit(rule)))
-    out = features.withColumn("base_failed", F.expr(BASE_FAILED))
-    out = out.withColumn("rejected_by", F.array_sort(F.array_compact(F.array(*found))))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    # a row for each stratum that has rules
+    table = docs.sparkSession.createDataFrame([(k, *(c[r] for r in RULES)) for k, c in cutoffs.items()], "_stratum string, " + ", ".join(f"_{r} double" for r in RULES))
+    rest = [c for c in features.columns if c not in ("base_failed", "rejected_by", "kept")]
+    kept = features.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("r"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s")).join(table, F.col("s") == F.col("_stratum"), "left")
+    kept = kept.select("r.*", F.array_sort(F.array_compact(F.array(*(F.when(F.expr(re.sub(r"\bn_|\bword_", lambda m: "r." + m[0], x)) > F.col(f"_{n}"), F.lit(n)) for n, x in RULES.items())))).alias("rejected_by"))
+    return kept.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

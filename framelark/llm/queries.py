@@ -29,7 +29,38 @@ QUERIES = {
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x20\\x09-\\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        sh AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN list_slice(ws, 1, len(ws)) ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END AS l FROM w),
+        sets AS (SELECT doc_id, list_sort(list_distinct(l)) AS l FROM sh),
+        same AS (SELECT l, min(doc_id) AS r, len(l) AS n FROM sets WHERE len(l) > 0 GROUP BY l),
+        e AS (SELECT r, n, unnest(l) AS s FROM same), f AS (SELECT s, count(*) AS m FROM e GROUP BY s),
+        o AS (SELECT e.r, e.n, e.s, row_number() OVER (PARTITION BY e.r ORDER BY f.m, e.s) AS i FROM e JOIN f USING (s)),
+        rare AS (SELECT * FROM o WHERE i <= n - ceil(0.8 * n) + 1),
+        cand AS (SELECT DISTINCT a.r AS x, b.r AS y FROM rare a JOIN rare b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        links AS (SELECT x, y FROM cand JOIN same a ON a.r = x JOIN same b ON b.r = y WHERE 100 * len(list_intersect(a.l, b.l)) >= 80 * (a.n + b.n - len(list_intersect(a.l, b.l)))),
+        two AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT r AS x, r AS y FROM same UNION SELECT reach.x, two.y FROM reach JOIN two ON two.x = reach.y),
+        comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+        SELECT doc_id, len(sets.l) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+        FROM sets LEFT JOIN same ON same.l = sets.l LEFT JOIN comp ON comp.x = same.r
+    """,
+    "op7_repeated_bytes": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        j AS (SELECT doc_id, h, len(h) // 2 AS n, unnest(range((len(h) + 399) // 400)) AS j FROM d),
+        c AS (SELECT doc_id, n, j, substr(h, 400 * j + 1, 498) AS piece FROM j),
+        p AS (SELECT doc_id, n, j, piece, unnest(range(least(200, n - 200 * j))) AS o FROM c),
+        s AS (SELECT doc_id, 200 * j + o AS i, CASE WHEN 200 * j + o + 50 <= n THEN md5(substr(piece, 2 * o + 1, 100)) END AS k, substr(piece, 2 * o + 1, 2) AS byte FROM p),
+        f AS (SELECT k, min(doc_id) AS low FROM s WHERE k IS NOT NULL GROUP BY k),
+        m AS (SELECT s.doc_id, i, byte, coalesce(low < s.doc_id, false) AS starts FROM s LEFT JOIN f USING (k)),
+        g AS (SELECT doc_id, i, byte, coalesce(max(CASE WHEN starts THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - 50, false) AS gone FROM m),
+        r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+        t AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM r GROUP BY doc_id)
+        SELECT documents.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)
+    """,
     "op3_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 
@@ -14,6 +15,20 @@ PLAIN = re.compile("[!-;=-~\u00c0-\u00ff]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+#: The normalizer and the splitting that ``PLAIN`` and ``PIECES`` stand for.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_as_here(path: str) -> bool:
+    """Whether a tokenizer file normalizes and splits as ``PLAIN`` and ``PIECES`` do; any other goes through the library whole."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    split = [p["pattern"].get("Regex") for p in before.get("pretokenizers", []) if p.get("type") == "Split"]
+    return normal.get("normalizers") == NORMALIZER and split == [SPLIT] and spec["model"]["type"] == "BPE"
+
+
 class Encoder(dict):
     """Word (bytes, no ASCII white space) -> ids as little-endian unsigned 32-bit bytes.
 
@@ -28,7 +43,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit, self.pieces = Tokenizer.from_file(path), limit, {}
-        self.split, self.model = "word_bpe" in os.path.basename(path), self.tokenizer.model
+        self.split, self.model = splits_as_here(path), self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_byte = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
