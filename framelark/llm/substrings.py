@@ -33,15 +33,18 @@ def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all runs of 24, 40 and 50 bytes."""
+def gram_hashes(data: np.ndarray, of_40: bool = True, of_50: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Hashes of all runs of 24, and where asked for of 40 and of 50 bytes."""
     h2 = _pair(data[:-1].astype(np.uint64) + np.uint64(1), data[1:].astype(np.uint64) + np.uint64(1))
     h4 = _pair(h2[:-2], h2[2:])
     h8 = _pair(h4[:-4], h4[4:])
     h16 = _pair(h8[:-8], h8[8:])
     h24 = _pair(h16[:-8], h8[16:])
-    h48 = _pair(h24[:-24], h24[24:])
-    return mix(h24), mix(_pair(h24[:-16], h24[16:])), mix(_pair(h48[:-2], h2[48:]))
+    h50 = None
+    if of_50:
+        h48 = _pair(h24[:-24], h24[24:])
+        h50 = mix(_pair(h48[:-2], h2[48:]))
+    return h24, mix(_pair(h24[:-16], h24[16:])) if of_40 else None, h50
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -55,7 +58,7 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 class Shard:
     """One shard in a task: its bytes, whose they are, and the strings of ``LENGTH`` bytes that lie in one document."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, of_40: bool = True, of_50: bool = True):
         self.id, self.doc = row["shard"], np.array(row["doc"], np.int64)
         self.sizes, self.data = np.array(row["sizes"], np.int64), np.frombuffer(row["data"], np.uint8)
         self.ends = np.cumsum(self.sizes)
@@ -63,9 +66,9 @@ class Shard:
         self.of = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[:n]
         self.valid = np.arange(n) + LENGTH <= self.ends[self.of] if n else np.zeros(0, bool)
         if n:
-            self.h24, h40, self.h50 = gram_hashes(self.data)
+            self.h24, h40, self.h50 = gram_hashes(self.data, of_40, of_50)
             #: A string of 50 bytes holds eleven runs of 40; the least of their hashes speaks for it.
-            self.h40 = sliding_min(h40, LENGTH - 39)
+            self.h40 = sliding_min(h40, LENGTH - 39) if of_40 else None
         else:
             self.h24 = self.h40 = self.h50 = np.zeros(0, np.uint64)
 
@@ -75,7 +78,8 @@ class Shard:
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
         key, of = key[first], of[first]
-        order = np.lexsort((of, key))
+        # documents ascend along a shard, so a stable sort leaves those of one hash in order
+        order = np.argsort(key, kind="stable")
         key, of = key[order], of[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         last = np.append(starts[1:], len(key)) - 1
@@ -83,13 +87,16 @@ class Shard:
 
     def hot(self, at: np.ndarray, h: np.ndarray, buckets: int, answers) -> np.ndarray:
         """Which of the strings at ``at`` the buckets know from two documents; the question is worked out again."""
-        distinct, _ = self.ask(at, h, buckets)
+        key = h[at]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        distinct, back = np.unique(key[first], return_inverse=True)
         edges = _edges(distinct, buckets)
         bits = np.zeros(len(distinct), bool)
         for bucket, blob in answers:
             lo, hi = edges[bucket], edges[bucket + 1]
             bits[lo:hi] = np.unpackbits(np.frombuffer(blob, np.uint8), count=hi - lo)
-        return bits[np.searchsorted(distinct, h[at])]
+        return bits[back][np.cumsum(first) - 1] if len(key) else first
 
 
 def _edges(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -171,7 +178,7 @@ def _answers(questions: DataFrame) -> DataFrame:
 def contexts(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first string and number of strings of each run of hot strings with one anchor, the least of the 24-byte runs inside them."""
     n = len(hot)
-    m = sliding_min((shard.h24 & ~_POS) | (np.arange(len(shard.h24), dtype=np.uint64) & _POS), LENGTH - 23)[:n]
+    m = sliding_min((mix(shard.h24) & ~_POS) | (np.arange(len(shard.h24), dtype=np.uint64) & _POS), LENGTH - 23)[:n]
     on = np.flatnonzero(hot)
     if not len(on):
         return on.astype(np.uint64), on, on
@@ -179,7 +186,7 @@ def contexts(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     new[1:] = (on[1:] != on[:-1] + 1) | (m[on][1:] != m[on][:-1]) | (shard.of[on][1:] != shard.of[on][:-1])
     first = on[new]
     count = np.diff(np.append(np.flatnonzero(new), len(on)))
-    return shard.h24[(m[first] & _POS).astype(np.int64)], first, count
+    return mix(shard.h24[(m[first] & _POS).astype(np.int64)]), first, count
 
 
 def least_docs(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -271,7 +278,7 @@ def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
     asked = ["shard", "bucket", "keys", "flags"], [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def first(row):
-        s = Shard(row)
+        s = Shard(row, of_50=False)
         return _questions(s, np.flatnonzero(s.valid), s.h40, buckets)
 
     def second(row):
@@ -284,7 +291,7 @@ def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
         yield from _questions(s, at, s.h50, buckets)
 
     def third(row):
-        s = Shard(row)
+        s = Shard(row, of_40=False)
         at = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(row["mask"]), np.uint8), count=len(s.valid)))
         hot = np.zeros(len(s.valid), bool)
         hot[at[s.hot(at, s.h50, buckets, [(x["bucket"], x["bits"]) for x in row["answers"] or []])]] = True
