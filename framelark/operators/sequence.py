@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +50,25 @@ def median3(x: Column) -> Column:
 
 
 def ema(series: DataFrame, name: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential average from the first value on, as (entity, frame, ema); sequential, so one group-map per entity."""
-
-    def run(pdf):
-        pdf = pdf.sort_values("frame")
-        return pdf.assign(ema=pdf[name].astype(float).ewm(alpha=alpha, adjust=False).mean())[["entity", "frame", "ema"]]
-
-    kinds = dict(series.dtypes)
-    return series.select("entity", "frame", name).groupBy("entity").applyInPandas(run, f"entity {kinds['entity']}, frame {kinds['frame']}, ema double")
+    """Exponential average from the first value on, as (entity, frame, ema); null values are left out.
+
+    A value counts ``alpha`` times the decay of the frames since. Blocks of a series are summed with windows, scaled inside each block so that nothing overflows; a block takes
+    over the end of the one before, and of that one's predecessor, beyond which less than 1e-60 of a value is left.
+    """
+    decay = 1 - min(1.0, max(1e-3, alpha))
+    size = math.ceil(70 / -math.log(decay)) if decay else 1
+    i = F.row_number().over(by_frame()) - 1
+    rows = series.where(F.col(name).isNotNull()).select("entity", "frame", F.col(name).cast("double").alias("x"), i.alias("i"))
+    rows = rows.withColumn("b", F.floor(F.col("i") / size)).withColumn("p", (F.col("i") % size).cast("double"))
+    share = F.col("x") * F.when(F.col("i") == 0, 1.0).otherwise(1 - decay)
+    if not decay:
+        return rows.select("entity", "frame", F.col("x").alias("ema"))
+    inside = Window.partitionBy("entity", "b").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum(share * F.pow(F.lit(decay), -F.col("p"))).over(inside) * F.pow(F.lit(decay), "p"))
+    blocks = Window.partitionBy("entity").orderBy("b")
+    ends = rows.groupBy("entity", "b").agg(F.max_by("s", "p").alias("end"))
+    before = F.coalesce(F.lag("end").over(blocks), F.lit(0.0)) + decay**size * F.coalesce(F.lag("end", 2).over(blocks), F.lit(0.0))
+    return rows.join(ends.select("entity", "b", before.alias("carry")), ["entity", "b"]).select("entity", "frame", (F.col("s") + F.pow(F.lit(decay), F.col("p") + 1) * F.col("carry")).alias("ema"))
 
 
 def densify(samples: DataFrame, lengths: DataFrame) -> DataFrame:

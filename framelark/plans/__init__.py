@@ -12,6 +12,7 @@ from . import checks as _checks
 from . import clips as _clips
 from . import ordered as _ordered
 from . import pools as _pools
+from . import trials as _trials
 from ._base import rounded
 
 
@@ -74,7 +75,7 @@ QUERIES = {
     "wn12_interpolate": dense,
     "iv1_islands": lambda s, d: intervals.islands(src.signal(s, d).where("value > 50").select("entity", "frame"), 0),
     "iv3_top_runs": lambda s, d: intervals.top_runs(intervals.islands(src.signal(s, d).where("value > 50").select("entity", "frame"), 1), 2),
-    "iv5_merge_segments": lambda s, d: intervals.merge_segments(src.signal(s, d).select("entity", F.col("frame").alias("start"), (F.col("frame") + F.floor(F.col("value") / 40)).alias("end")).where("start % 3 = 0")),
+    "iv5_merge_segments": lambda s, d: intervals.merge_segments(src.signal(s, d).select("entity", (F.col("frame") * 3).alias("start"), (F.col("frame") * 3 + F.floor(F.col("value") / 40)).alias("end"))),
     "iv10_best_window": lambda s, d: intervals.best_window(src.signal(s, d), "value", 0.3),
     "or4_top_fraction": lambda s, d: rounded(intervals.top_fraction(src.signal(s, d), "value", 0.25).select("entity", "frame", "value")),
     "xp1_auc": lambda s, d: rounded(stats.auc(src.signal(s, d), "value", F.col("event_type") == "purchase")),
@@ -145,10 +146,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT entity, frame, round(CASE WHEN p IS NULL THEN n WHEN n IS NULL OR nf = pf THEN p ELSE p + (n - p) * (frame - pf) / (nf - pf) END, 6) AS linear, round(coalesce(p, n), 6) AS asof,
                round(CASE WHEN p IS NULL OR nf - frame < frame - pf THEN n ELSE p END, 6) AS nearest FROM d
     """,
+    "wn4_ema": f"WITH RECURSIVE {_SIGNAL}, e AS (SELECT entity, frame, value AS ema FROM s WHERE frame = 0 UNION ALL SELECT s.entity, s.frame, 0.3::DOUBLE * s.value + 0.7::DOUBLE * e.ema FROM e JOIN s ON s.entity = e.entity AND s.frame = e.frame + 1) SELECT entity, frame, round(ema, 6) AS ema FROM e",
     "iv1_islands": f"WITH {_SIGNAL} {_RUNS.format(g=1)}",
     "iv3_top_runs": f"WITH {_SIGNAL}, runs AS ({_RUNS.format(g=2)}) SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, start DESC) AS place FROM runs QUALIFY place <= 2",
     "iv5_merge_segments": f"""
-        WITH {_SIGNAL}, g AS (SELECT entity, frame AS start, frame + floor(value / 40)::BIGINT AS "end" FROM s WHERE frame % 3 = 0),
+        WITH {_SIGNAL}, g AS (SELECT entity, 3 * frame AS start, 3 * frame + floor(value / 40)::BIGINT AS "end" FROM s),
         n AS (SELECT *, coalesce((start > max("end") OVER (PARTITION BY entity ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1)::INT, 1) AS new FROM g),
         i AS (SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY start, "end") AS id FROM n)
         SELECT entity, min(start) AS start, max("end") AS "end" FROM i GROUP BY entity, id
@@ -170,6 +172,6 @@ ORACLE_SQL: dict[str, str] = {
     "sf_numbers": "SELECT event_id, regexp_extract_all(props, '-?\\d+(?:\\.\\d+)?')[-1]::DOUBLE AS k, left(regexp_replace(props, '\\s+', '', 'g'), 4) AS head FROM events",
 }
 
-for _part in (_clips, _checks, _pools, _ordered):
+for _part in (_clips, _checks, _pools, _ordered, _trials):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
