@@ -142,10 +142,10 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     """
     features = cut(with_features(docs).drop("text"), "quality")
     cutoffs = choose_cutoffs(cut(labelled_rows(features, labels, stratum), "labelled"), risk, wrong)
-    # a row for each stratum that has rules
+    # a row for each stratum that has rules; each needs hundreds of labelled documents, so they are few
     table = docs.sparkSession.createDataFrame([(k, *(c[r] for r in RULES)) for k, c in cutoffs.items()], "_stratum string, " + ", ".join(f"_{r} double" for r in RULES))
     rest = [c for c in features.columns if c not in ("base_failed", "rejected_by", "kept")]
-    kept = features.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("r"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s")).join(table, F.col("s") == F.col("_stratum"), "left")
+    kept = features.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("r"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s")).join(F.broadcast(table), F.col("s") == F.col("_stratum"), "left")
     kept = kept.select("r.*", F.array_sort(F.array_compact(F.array(*(F.when(F.expr(re.sub(r"\bn_|\bword_", lambda m: "r." + m[0], x)) > F.col(f"_{n}"), F.lit(n)) for n, x in RULES.items())))).alias("rejected_by"))
     return kept.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
