@@ -1,7 +1,8 @@
 """Byte strings that repeat across documents, decided on bytes.
 
 Documents are packed into shards of a few megabytes. Two rounds of questions and answers between shards and buckets of hashes leave the
-places that may repeat; the strings there are sorted in buckets of anchors, and every shard gets back the least document of each.
+places that may repeat; the strings there go to buckets of anchors, whose suffixes external induced sorting orders with their common prefixes, and
+every shard gets back the least document of each string.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut, documents, fingerprint, mix, prepare, release
+from .induced import sorted_suffixes
 
 LENGTH = 50
 #: Bytes of text in a shard (a longer document makes a longer one), and of text for each bucket.
@@ -190,37 +192,25 @@ def contexts(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def least_docs(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For every string of 50 bytes of some contexts the least document with it: the strings are sorted, equal ones by their bytes lie together.
+    """For every string of 50 bytes of some contexts the least document with it.
 
+    The contexts' suffixes are sorted by induction; strings are equal where no common prefix between their suffixes falls below 50 bytes.
     ``data``: the contexts' bytes one after another; ``begins``, ``counts``: where each starts and its number of strings; ``doc``: its document.
     """
     at = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    # the bytes as big-endian words: eight from each of seven places, the last two words overlap
-    word = np.zeros(len(data) + 8, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(word)]
-    places = (0, 8, 16, 24, 32, 40, 42)
-    mixed = np.zeros(len(at), np.uint64)
-    for o in places:
-        mixed = mix(mixed * _A + word[at + o])
-    # a hash brings equal strings together, and the words decide; should two different strings share it, the words alone sort
-    order = np.argsort(mixed, kind="stable")
-    near, same = mixed[order][1:] == mixed[order][:-1], np.zeros(len(at), bool)
-    same[1:] = near
-    for o in places:
-        w = word[at[order] + o]
-        same[1:] &= w[1:] == w[:-1]
-    if (same[1:] != near).any():
-        words = [word[at + o] for o in places]
-        order, same = np.lexsort(tuple(reversed(words))), np.ones(len(at), bool)
-        same[:1] = False
-        for w in words:
-            same[1:] &= w[order][1:] == w[order][:-1]
-    starts = np.flatnonzero(~same)
-    low = np.minimum.reduceat(np.repeat(doc, counts)[order], starts) if len(at) else doc[:0]
+    number = np.full(len(data), -1, np.int64)
+    number[at] = np.arange(len(at))
+    order, group, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for places, prefix in sorted_suffixes(data, LENGTH):
+        of = groups + np.cumsum(prefix < LENGTH)
+        groups, mine = int(of[-1]), number[places] >= 0
+        order.append(number[places[mine]])
+        group.append(of[mine])
+    order, group = np.concatenate(order), np.concatenate(group)
     out = np.empty(len(at), np.int64)
-    out[order] = low[np.cumsum(~same) - 1]
+    if len(at):
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        out[order] = np.minimum.reduceat(np.repeat(doc, counts)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
 
 
@@ -260,7 +250,7 @@ def repeated_bytes(docs: DataFrame, digest: bool = False) -> DataFrame:
     Of equal texts only the one with the least doc_id is searched; the others go whole. The rest is packed into shards. First every shard asks
     buckets of hashes which of its 40-byte minimizers stand in two documents, then the same for the 50-byte strings that are left: 32 bits of a
     hash a question, a bit an answer, so what passes by chance is some thousandth and costs time only. The strings left are cut into contexts by anchors (24-byte
-    minimizers), which depend on a string's bytes alone, and sorted by their bytes in buckets of anchors; a shard sends equal contexts once, so a
+    minimizers), which depend on a string's bytes alone, and sorted in buckets of anchors by external induced sorting (``induced``); a shard sends equal contexts once, so a
     passage of very many documents reaches its bucket once a shard. Answers go back by shard: no bitmap, list or table of the corpus is broadcast.
     """
     spark = prepare(docs.sparkSession)
