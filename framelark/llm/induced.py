@@ -6,7 +6,7 @@ seeds, a pass downwards S suffixes from those. Each pass pops chunks of tuples (
 each first byte and pushes the places before them; the prefix of two pushed is one more than the least of those popped in between. A queue keeps
 ``HELD`` tuples in memory and the rest in a nameless file in Spark's own spill folders, which goes with the task: a task that runs again starts anew.
 
-In memory stay the text, a few bytes for each of its places, and eight for each seed (a third of the places or so, half at most).
+In memory stay the text (under 2 GiB), some eleven bytes for each of its places, and some fifty for each seed (a third of the places or so, half at most).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import tempfile
 
 import numpy as np
 
-CHUNK, HELD = 1 << 16, 1 << 18
+CHUNK, HELD = 1 << 16, 1 << 14
 _LOW = np.uint64(255)
 
 
@@ -136,27 +136,31 @@ def _words(text: np.ndarray) -> np.ndarray:
     """Eight bytes from each place on as one big-endian number; zeros behind the end."""
     padded, w = np.concatenate([text, np.zeros(8, np.uint8)]), np.zeros(len(text) + 1, np.uint64)
     for i in range(8):
-        w = (w << np.uint64(8)) | padded[i : i + len(w)]
+        w <<= np.uint64(8)
+        w |= padded[i : i + len(w)]
     return w
 
 
 def _refine(rank: np.ndarray, key: np.ndarray, some: np.ndarray) -> np.ndarray:
     """``rank`` with ties among ``some`` broken by ``key``; a rank is the number of those before. Returns who still ties."""
-    order = some[np.lexsort((key[some], rank[some]))]
+    order = some[np.lexsort((key[some], rank[some]))].astype(np.int32)
     r, k = rank[order], key[order]
     group = np.concatenate([[True], r[1:] != r[:-1]])
     new = group | np.concatenate([[True], k[1:] != k[:-1]])
-    here = np.arange(len(order))
-    rank[order] = r + np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(group, here, 0))
+    del k
+    here = np.arange(len(order), dtype=np.int32)
+    r += np.maximum.accumulate(np.where(new, here, 0))
+    r -= np.maximum.accumulate(np.where(group, here, 0))
+    rank[order] = r
     alone = new & np.append(new[1:], True)
     return order[~alone]
 
 
 def _seeds(text: np.ndarray, word: np.ndarray, seeds: np.ndarray, width: int) -> np.ndarray:
     """``seeds`` in the order of their suffixes, as far as ``width`` bytes."""
-    size = np.append(seeds[1:], len(text)) - seeds + 1
-    rank = np.zeros(len(seeds), np.int64)
-    tie = np.arange(len(seeds))
+    size = (np.append(seeds[1:], len(text)) - seeds + 1).astype(np.int32)
+    rank = np.zeros(len(seeds), np.int32)
+    tie = np.arange(len(seeds), dtype=np.int32)
     # names: the bytes up to the next seed and its first, 0xFF behind; a longer substring comes before its prefix
     for o in range(0, width, 8):
         key = np.full(len(seeds), ~np.uint64(0))
@@ -172,7 +176,7 @@ def _seeds(text: np.ndarray, word: np.ndarray, seeds: np.ndarray, width: int) ->
     # names of pairs of names, of pairs of those ...: a name spans at least two bytes
     span = 1
     while len(tie) and 2 * span < width + 2:
-        follow = np.full(len(seeds), -1, np.int64)
+        follow = np.full(len(seeds), -1, np.int32)
         follow[:-span] = rank[span:]
         tie = _refine(rank, follow, tie)
         span *= 2
@@ -188,11 +192,13 @@ def sorted_suffixes(text: np.ndarray, width: int = 254, held: int = HELD):
     n = len(text)
     if not n:
         return
-    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
-    lengths = np.diff(np.append(-1, change))
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1).astype(np.int32)
+    lengths = np.diff(change, prepend=np.int32(-1))
     up = np.append(text[change[:-1] + 1] > text[change[:-1]], False)
-    small = np.repeat(up, lengths)
-    same = np.minimum(np.repeat(change, lengths) - np.arange(n) + 1, width).astype(np.uint8)
+    small, same = np.repeat(up, lengths), np.repeat(change, lengths)
+    same -= np.arange(-1, n - 1, dtype=np.int32)
+    same = np.minimum(same, width).astype(np.uint8)
+    del change, lengths, up
     seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     given = [Queue(held) for _ in range(256)]
     if len(seeds):

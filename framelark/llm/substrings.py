@@ -198,11 +198,11 @@ def least_docs(data: np.ndarray, begins: np.ndarray, counts: np.ndarray, doc: np
     ``data``: the contexts' bytes one after another; ``begins``, ``counts``: where each starts and its number of strings; ``doc``: its document.
     """
     at = np.repeat(begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    number = np.full(len(data), -1, np.int64)
+    number = np.full(len(data), -1, np.int32)
     number[at] = np.arange(len(at))
-    order, group, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    order, group, groups = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for places, prefix in sorted_suffixes(data, LENGTH):
-        of = groups + np.cumsum(prefix < LENGTH)
+        of = groups + np.cumsum(prefix < LENGTH, dtype=np.int32)
         groups, mine = int(of[-1]), number[places] >= 0
         order.append(number[places[mine]])
         group.append(of[mine])
