@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text
 from ..operators import intervals, pool, score, sequence, stats, validate
 from ..sources import frames as src
+from . import arms as _arms
 from . import checks as _checks
 from . import clips as _clips
 from . import ordered as _ordered
@@ -172,6 +173,6 @@ ORACLE_SQL: dict[str, str] = {
     "sf_numbers": "SELECT event_id, regexp_extract_all(props, '-?\\d+(?:\\.\\d+)?')[-1]::DOUBLE AS k, left(regexp_replace(props, '\\s+', '', 'g'), 4) AS head FROM events",
 }
 
-for _part in (_clips, _checks, _pools, _ordered, _trials):
+for _part in (_clips, _checks, _pools, _ordered, _trials, _arms):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
