@@ -9,6 +9,7 @@ from .near import op2_near_duplicates
 from .packing import op1_pack_sequences
 from .pii import op5_personal_data
 from .quality import op6_quality_rules
+from .spelling import op13_spelling_variants
 from .substrings import op7_repeated_bytes
 from .tokenfiles import op4_token_files
 from .toxicity import op8_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -31,6 +33,15 @@ _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\\x20\\x09-\\x0D]+')"
 
+# crc32 of a string, byte by byte, with the table of its 256 remainders as a list.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS tab)"
+
+
+def _crc32(text: str) -> str:
+    values = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: (strpos('123456789ABCDEF', x[1]) * 16 + strpos('123456789ABCDEF', x[2]))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {values}), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
@@ -71,4 +82,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY doc_id, run),
+        hashed AS (SELECT run, c, {_crc32("doc_id || ':' || run")} AS h FROM counted, crc),
+        lossy AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+        v AS (SELECT word, sum(c)::BIGINT AS n FROM lossy WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        cuts AS (SELECT word, length(word) AS l, unnest(range(1, length(word) + 1)) AS i FROM v),
+        less AS (SELECT word, l, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS s FROM cuts),
+        near AS (
+            SELECT a.word AS x, b.word AS y FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+            UNION SELECT less.word, v.word FROM less JOIN v ON v.word = less.s UNION SELECT v.word, less.word FROM less JOIN v ON v.word = less.s),
+        ranked AS (SELECT x, y, v.n AS m, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY v.n DESC, hex(encode(y))) AS r FROM near JOIN v ON v.word = y),
+        formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN y END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN ranked ON x = v.word AND r = 1),
+        walk AS (SELECT word, word AS at FROM v UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.at WHERE f.form IS NOT NULL),
+        ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN formed f ON f.word = walk.at WHERE f.form IS NULL)
+        SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+    """,
 }
