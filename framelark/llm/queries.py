@@ -9,10 +9,12 @@ from .near import op2_near_duplicates
 from .packing import op1_pack_sequences
 from .pii import op5_personal_data
 from .quality import op6_quality_rules
+from .repeats import op11_periodic_runs
 from .spelling import op13_spelling_variants
 from .substrings import op7_repeated_bytes
 from .tokenfiles import op4_token_files
 from .toxicity import op8_toxicity
+from .warc import op12_web_archives
 
 QUERIES = {
     "op1_pack_sequences": op1_pack_sequences,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_web_archives": op12_web_archives,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -82,6 +86,32 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_periodic_runs": f"""
+        WITH {_CRC_TABLE},
+        raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, coalesce({_crc32("doc_id::VARCHAR")}, 1) AS h FROM documents, crc),
+        cuts AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM raw),
+        tails AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cuts),
+        d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) END AS ws FROM tails),
+        w AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(ws) AS x FROM d),
+        pairs AS (SELECT y.doc_id, y.i, z.i - y.i AS q FROM w y JOIN w z ON y.doc_id = z.doc_id AND y.x = z.x AND z.i > y.i AND 3 * (z.i - y.i) <= y.n),
+        islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs),
+        periodic AS (SELECT doc_id, min(i) AS s, count(*) + q AS l, q FROM islands GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+        runs AS (SELECT doc_id, s, l, min(q) AS q FROM periodic GROUP BY doc_id, s, l),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) AS r FROM runs),
+        told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM runs GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+        kept AS (SELECT w.doc_id, string_agg(x, ' ' ORDER BY w.i) AS txt FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i WHERE gone.i IS NULL GROUP BY w.doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+               sha256(coalesce(told.txt, '')) AS runs_sha256, sha256(coalesce(kept.txt, '')) AS collapsed_sha256
+        FROM d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id AND r = 1
+    """,
+    "op12_web_archives": """
+        WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        n AS (SELECT *, list_transform(range(8), lambda i: list_reduce(list_transform(range(1, 6), lambda k: strpos('123456789abcdef', h[5 * i + k])), lambda x, y: x * 16 + y)) AS twenty_bits FROM d),
+        b AS (SELECT *, array_to_string(list_transform(twenty_bits, lambda v: array_to_string(list_transform([v >> 15, (v >> 10) % 32, (v >> 5) % 32, v % 32], lambda c: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', c + 1, 1)), '')), '') AS payload_digest FROM n),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS head FROM b)
+        SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to, 'ok' AS status FROM m
+    """,
     "op13_spelling_variants": f"""
         WITH RECURSIVE {_CRC_TABLE},
         runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
