@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import documents, map_batches, prepare
 from .tokens import default_path, encoder
 
+#: So many pieces of a document stay together; longer documents are dealt in such parts, so that no group grows with one document.
+LONG_PIECES = 1024
 PIECE = "doc_id long, fp long, start long, length long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -77,8 +79,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, group_docs: int = 4096, group_chars: int = 32_000_000, seed: int = 17) -> DataFrame:
     """Pack documents into sequences of at most ``capacity`` ids with little padding.
 
-    Every document is encoded, ended with ``end_id`` and cut at multiples of ``capacity``. Pieces are dealt at
-    random (by a hash of id, text and place, so reruns agree) to groups, and each group is packed by itself: first-fit decreasing,
+    Every document is encoded, ended with ``end_id`` and cut at multiples of ``capacity``. Documents are dealt at
+    random (by a hash of id and text, so reruns agree) to groups, and each group is packed by itself: first-fit decreasing,
     the first bin with room found in a tournament tree. The number of groups follows the documents and
     their characters, so that a group holds about ``group_docs`` documents and ``group_chars`` characters at
     most, whatever the size of the corpus. A group wastes at most its last bins, so large groups pad little.
@@ -93,13 +95,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
     n, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     groups = max(1, -(-n // group_docs), -(-chars // group_chars))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "fp", "start"], kind="stable").reset_index(drop=True)
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(sequence_id=(np.int64(pdf["pack_group"].iloc[0]) << np.int64(32)) + bins, offset=offsets).drop(columns=["pack_group", "fp"])[["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]]
+    # Arrow keeps ids beyond 2^53 exact beside nulls
+    def one(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[("doc_id", "ascending"), ("fp", "ascending"), ("start", "ascending")]))
+        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
+        sequences = (np.int64(group["pack_group"][0].as_py()) << np.int64(32)) + bins
+        return group.drop_columns(["pack_group", "fp", "ids"]).append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets)).append_column("ids", group["ids"])
 
-    dealt = pieces(docs, tokenizer, capacity, end_id).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "fp", "start"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(one, PACKED)
+    part = F.floor(F.col("start") / (capacity * LONG_PIECES))
+    dealt = pieces(docs, tokenizer, capacity, end_id).withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "fp", part), F.lit(groups)))
+    return dealt.groupBy("pack_group").applyInArrow(one, PACKED)
 
 
 def with_crc(packed: DataFrame) -> DataFrame:
