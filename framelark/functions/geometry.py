@@ -83,8 +83,9 @@ def pseudo_box(cx: Column, cy: Column, area: Column, w: Column, h: Column) -> Co
 
 
 def normalised(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: Column) -> Column:
-    """Corners in pixels as centre (5 places) and area (6 places), shares of the frame."""
-    return F.struct(F.round((x0 + x1) / 2 / w, 5).alias("cx"), F.round((y0 + y1) / 2 / h, 5).alias("cy"), F.round((x1 - x0) * (y1 - y0) / (w * h), 6).alias("area"))
+    """Corners in pixels as centre (5 places) and area (6 places), shares of the frame, rounded half to even."""
+    even = lambda v, scale: F.rint(v * scale) / scale
+    return F.struct(even((x0 + x1) / 2 / w, 1e5).alias("cx"), even((y0 + y1) / 2 / h, 1e5).alias("cy"), even((x1 - x0) * (y1 - y0) / (w * h), 1e6).alias("area"))
 
 
 def frames_of_segment(start: Column, end: Column, fps: Column, n: Column) -> Column:

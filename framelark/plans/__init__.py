@@ -11,9 +11,13 @@ from ..sources import frames as src
 from . import arms as _arms
 from . import checks as _checks
 from . import clips as _clips
+from . import experiments as _experiments
+from . import files as _files
 from . import ordered as _ordered
 from . import pools as _pools
+from . import replies as _replies
 from . import trials as _trials
+from . import wholes as _wholes
 from ._base import rounded
 
 
@@ -173,6 +177,6 @@ ORACLE_SQL: dict[str, str] = {
     "sf_numbers": "SELECT event_id, regexp_extract_all(props, '-?\\d+(?:\\.\\d+)?')[-1]::DOUBLE AS k, left(regexp_replace(props, '\\s+', '', 'g'), 4) AS head FROM events",
 }
 
-for _part in (_clips, _checks, _pools, _ordered, _trials, _arms):
+for _part in (_clips, _checks, _pools, _ordered, _trials, _arms, _replies, _experiments, _files, _wholes):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)

@@ -85,7 +85,7 @@ ORACLE_SQL = {
     "pr9_truth_center": f"{_ON} SELECT {_KEYS}, round(CASE WHEN th > tw THEN (part % 200 + q / 2) / w ELSE (q * th / tw / 2) / h END, 6) AS center FROM lines",
     "pr11_soft_shrink": f"{_ON} SELECT {_KEYS}, round(0.5 + (c - 0.5) * exp(-line / 2.5), 6) AS center FROM lines",
     "pr13_pseudo_box": f"{_ON}, p AS (SELECT *, sqrt(area) / 2 AS r FROM lines) SELECT {_KEYS}, round(greatest(c - r, 0) * w, 6) AS x0, round(greatest(cy - r, 0) * h, 6) AS y0, round(least(c + r, 1) * w, 6) AS x1, round(least(cy + r, 1) * h, 6) AS y1 FROM p",
-    "pr14_normalise": f"{_ON} SELECT {_KEYS}, round((part % 200 + (part % 200 + q)) / 2 / w, 5) AS cx, round((supp % 50 + (supp % 50 + q * 2)) / 2 / h, 5) AS cy, round(((part % 200 + q) - part % 200) * ((supp % 50 + q * 2) - supp % 50) / (w * h), 6) AS area FROM lines",
+    "pr14_normalise": f"{_ON} SELECT {_KEYS}, round_even((part % 200 + (part % 200 + q)) / 2 / w * 1e5, 0) / 1e5 AS cx, round_even((supp % 50 + (supp % 50 + q * 2)) / 2 / h * 1e5, 0) / 1e5 AS cy, round_even(((part % 200 + q) - part % 200) * ((supp % 50 + q * 2) - supp % 50) / (w * h) * 1e6, 0) / 1e6 AS area FROM lines",
     "pr15_seconds_to_frames": f"""
         WITH {META}, t AS (SELECT entity, {_SQL_START} AS s, {_SQL_END} AS e FROM meta),
         a AS (SELECT *, greatest(0, least(round_even(least(s, e) * 2.5::DOUBLE, 0)::INT, 24)) AS x, greatest(0, least(round_even(greatest(s, e) * 2.5::DOUBLE, 0)::INT, 24)) AS y,
