@@ -1,6 +1,6 @@
 """Whole arms: from signals, detections and a base run to the boxes of a submission.
 
-Clips are (entity, n, W, H, cw, ch, axis): frames, picture, crop and the axis along which the crop moves (``x``, ``y`` or ``none``). Boxes are (entity, frame, x, y, w).
+Clips are (entity, n, width, height, cw, ch, axis): frames, picture, crop and the axis along which the crop moves (``x``, ``y`` or ``none``). Boxes are (entity, frame, x, y, w).
 """
 
 from __future__ import annotations
@@ -9,35 +9,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import crop_size, free_axis, shrink
+from ..functions.replies import let
 from . import gates, pool, selection, sequence, windows
 
 PETS = ["cat", "dog"]
 
 
 def sized(clips: DataFrame) -> DataFrame:
-    """``clips`` (entity, n, W, H, tw, th) with their crop and its free axis."""
-    w, h = F.col("W").cast("double"), F.col("H").cast("double")
+    """``clips`` (entity, n, width, height, tw, th) with their crop and its free axis."""
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
     cw, ch = crop_size(w, h, F.col("tw"), F.col("th"))
     c = clips.withColumn("cw", cw).withColumn("ch", ch)
-    return c.withColumn("axis", free_axis(F.col("W"), F.col("H"), F.col("cw"), F.col("ch")))
+    return c.withColumn("axis", free_axis(F.col("width"), F.col("height"), F.col("cw"), F.col("ch")))
 
 
 def travel() -> Column:
     """How far the crop can move on its axis."""
-    return F.when(F.col("axis") == "x", F.col("W") - F.col("cw")).when(F.col("axis") == "y", F.col("H") - F.col("ch")).otherwise(0).cast("double")
+    return F.when(F.col("axis") == "x", F.col("width") - F.col("cw")).when(F.col("axis") == "y", F.col("height") - F.col("ch")).otherwise(0).cast("double")
 
 
 def start(center: Column) -> Column:
     """Where a crop around a centre begins on its axis, held inside the picture, not rounded."""
-    side = F.when(F.col("axis") == "x", center * F.col("W") - F.col("cw") / 2).otherwise(center * F.col("H") - F.col("ch") / 2)
+    side = F.when(F.col("axis") == "x", center * F.col("width") - F.col("cw") / 2).otherwise(center * F.col("height") - F.col("ch") / 2)
     return F.when(F.col("axis") == "none", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(side, travel())))
 
 
 def placed(offset: Column) -> list[Column]:
     """x, y, w of a crop that begins at ``offset``; without a free axis it is centred."""
     at = F.rint(offset).cast("int")
-    x = F.when(F.col("axis") == "x", at).when(F.col("axis") == "y", 0).otherwise(F.rint((F.col("W") - F.col("cw")) / 2).cast("int"))
-    y = F.when(F.col("axis") == "y", at).when(F.col("axis") == "x", 0).otherwise(F.rint((F.col("H") - F.col("ch")) / 2).cast("int"))
+    x = F.when(F.col("axis") == "x", at).when(F.col("axis") == "y", 0).otherwise(F.rint((F.col("width") - F.col("cw")) / 2).cast("int"))
+    y = F.when(F.col("axis") == "y", at).when(F.col("axis") == "x", 0).otherwise(F.rint((F.col("height") - F.col("ch")) / 2).cast("int"))
     return [x.alias("x"), y.alias("y"), F.col("cw").alias("w")]
 
 
@@ -91,28 +92,41 @@ def with_head_centers(dets: Column, share: float, only: str = "person") -> Colum
     return F.transform(dets, lambda d: F.when((d["cls"] == only) & d["top"].isNotNull() & d["bh"].isNotNull(), moved(d)).otherwise(d))
 
 
-def class_series(sampled: DataFrame, classes: list[str]) -> DataFrame:
-    """A row for each sampled frame of ``sampled`` (entity, frame, axis, dets): center, pooled over detections of some classes by conf * area (null: none), and their number."""
-    of = F.filter("dets", lambda d: d["cls"].isin(classes))
-    weight = lambda d: d["conf"] * F.greatest(d["area"], F.lit(1e-9))
-    at = lambda d: F.when(F.col("axis") == "x", d["cx"]).otherwise(d["cy"])
-    heavy = F.filter(of, lambda d: weight(d) > 0)
-    total = lambda f: F.aggregate(heavy, F.lit(0.0), lambda a, d: a + f(d))
-    center = F.try_divide(total(lambda d: weight(d) * at(d)), total(weight))
-    return sampled.select("entity", "frame", F.when(center.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), center))).alias("center"), F.size(of).alias("n"))
+def pooled(dets: Column, axis: Column, classes: list[str]) -> Column:
+    """Of an array of detections those of some classes: (center, n), their centre on the axis weighted by conf * area, held in 0..1 (null: none), and their number."""
 
+    def of(ds: Column) -> Column:
+        weight = lambda d: d["conf"] * F.greatest(d["area"], F.lit(1e-9))
+        parts = F.transform(F.filter(ds, lambda d: weight(d) > 0), lambda d: F.struct(weight(d).alias("w"), (weight(d) * F.when(axis == "x", d["cx"]).otherwise(d["cy"])).alias("s")))
+        sums = F.aggregate(parts, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s")), lambda t, p: F.struct((t["w"] + p["w"]).alias("w"), (t["s"] + p["s"]).alias("s")))
+        return let(sums, lambda t: F.struct(F.when(t["w"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(t["s"], t["w"])))).alias("center"), F.size(ds).alias("n")))
 
-def _has(series: DataFrame) -> DataFrame:
-    return series.where("center IS NOT NULL").select("entity").distinct()
+    return let(F.filter(dets, lambda d: d["cls"].isin(classes)), of)
 
 
-def subject_series(sampled: DataFrame, animal: DataFrame) -> DataFrame:
-    """entity, frame, center, n, kind: persons if an entity shows any, else pets; of ``animal`` entities pets first. Entities without either have no rows."""
-    people, pets = class_series(sampled, ["person"]), class_series(sampled, PETS)
-    liked = pets.join(_has(pets).join(animal.select("entity"), "entity", "left_semi"), "entity", "left_semi").withColumn("kind", F.lit("pet"))
-    rest = people.join(_has(people), "entity", "left_semi").join(liked.select("entity").distinct(), "entity", "left_anti").withColumn("kind", F.lit("person"))
-    alone = pets.join(_has(pets), "entity", "left_semi").join(_has(people).unionByName(animal.select("entity")).distinct(), "entity", "left_anti").withColumn("kind", F.lit("pet"))
-    return liked.unionByName(rest).unionByName(alone)
+def subject_series(sampled: DataFrame, pets: DataFrame, heads: DataFrame, clips: DataFrame, animal: DataFrame, head_share: float) -> DataFrame:
+    """A row for each sample of an entity's subject: entity, frame, center, n, kind.
+
+    Entities of ``animal`` are read from ``pets`` if they have samples there. The subject is the persons if any sample shows one, else the pets, and of ``animal`` the pets first. Portrait clips with persons are read from ``heads``, if
+    persons are seen there. Entities without a subject have no rows. All sources go through one shuffle by entity.
+    """
+    kinds = {"main": sampled, "pet": pets, "head": heads.withColumn("dets", with_head_centers(F.col("dets"), head_share))}
+    rows = None
+    for name, df in kinds.items():
+        part = df.select("entity", "frame", "dets", F.lit(name).alias("src"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.join(clips.select("entity", "axis"), "entity").join(animal.select("entity").distinct().withColumn("animal", F.lit(True)), "entity", "left")
+    rows = rows.select("entity", "frame", "src", "axis", F.coalesce("animal", F.lit(False)).alias("animal"), pooled(F.col("dets"), F.col("axis"), ["person"]).alias("p"), pooled(F.col("dets"), F.col("axis"), PETS).alias("t"))
+    whole = Window.partitionBy("entity")
+    any_of = lambda c: F.coalesce(F.max(c).over(whole), F.lit(False))
+    rows = rows.withColumn("own", any_of((F.col("src") == "pet") & F.col("animal")))
+    used = F.when(F.col("own"), F.col("src") == "pet").otherwise(F.col("src") == "main")
+    rows = rows.withColumn("used", used).withColumn("has_p", any_of(F.col("used") & F.col("p.center").isNotNull())).withColumn("has_t", any_of(F.col("used") & F.col("t.center").isNotNull())).withColumn("has_h", any_of((F.col("src") == "head") & F.col("p.center").isNotNull()))
+    kind = F.when(F.col("animal") & F.col("has_t"), "pet").when(F.col("has_p"), "person").when(F.col("has_t"), "pet")
+    rows = rows.withColumn("kind", kind).withColumn("face", (F.col("kind") == "person") & (F.col("axis") == "y") & F.col("has_h"))
+    rows = rows.where(F.col("kind").isNotNull() & F.when(F.col("face"), F.col("src") == "head").otherwise(F.col("used")))
+    of = F.when(F.col("kind") == "pet", F.col("t")).otherwise(F.col("p"))
+    return rows.select("entity", "frame", of["center"].alias("center"), of["n"].alias("n"), "kind")
 
 
 def trace_arm(
@@ -127,16 +141,7 @@ def trace_arm(
     count. One with a single subject in ``least_single`` of its samples, or pets, is traced (``trace``): sample centres, filled linearly, averaged over ``width`` samples, interpolated to
     frames. Others stand at their median (``const``). Frames at the head and tail that are dark without a target are dropped, ``most_drop`` of an entity at most.
     """
-    axis = clips.select("entity", "axis")
-    own = pets.join(animal.select("entity"), "entity", "left_semi")
-    source = own.unionByName(sampled.join(own.select("entity").distinct(), "entity", "left_anti")).join(axis, "entity")
-    series = subject_series(source, animal)
-    portrait = series.where("kind = 'person'").select("entity").distinct().join(axis.where("axis = 'y'"), "entity")
-    raised = heads.join(portrait, "entity").withColumn("dets", with_head_centers(F.col("dets"), head_share))
-    faces = class_series(raised, ["person"])
-    faces = faces.join(_has(faces), "entity", "left_semi").withColumn("kind", F.lit("person"))
-    series = series.join(faces.select("entity").distinct(), "entity", "left_anti").unionByName(faces)
-
+    series = subject_series(sampled, pets, heads, clips, animal, head_share)
     facts = series.groupBy("entity").agg(F.first("kind").alias("kind"), F.avg("n").alias("clutter"), F.avg((F.col("n") == 1).cast("int")).alias("single"), F.percentile("center", F.lit(0.5)).alias("median"))
     facts = clips.join(facts, "entity", "left").withColumn("exempt", (F.col("kind") == "pet") | ((F.col("axis") == "y") & (F.col("kind") == "person")))
     gated = F.col("kind").isNull() | (F.col("axis") == "none") | (~F.col("exempt") & (F.col("clutter") > threshold))
@@ -156,7 +161,7 @@ def trace_arm(
     line = F.when(F.col("a").isNull(), F.col("b")).when(F.col("b").isNull() | (F.col("fa") == F.col("fb")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.try_divide(F.col("frame") - F.col("fa"), F.col("fb") - F.col("fa")))
     traced = near.select("entity", "frame", line.alias("moving"))
 
-    r = base.join(facts.select("entity", "W", "H", "cw", "ch", "axis", "how", "median"), "entity").join(traced, ["entity", "frame"], "left")
+    r = base.join(facts.select("entity", "width", "height", "cw", "ch", "axis", "how", "median"), "entity").join(traced, ["entity", "frame"], "left")
     center = F.round(F.when(F.col("how") == "trace", F.col("moving")).otherwise(F.col("median")), 9)
     x, y, _ = placed(start(center))
     r = r.select("entity", "frame", F.when(F.col("how") == "base", F.col("x")).otherwise(x).alias("x"), F.when(F.col("how") == "base", F.col("y")).otherwise(y).alias("y"), "w", "how")

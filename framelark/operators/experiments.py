@@ -109,7 +109,7 @@ def linear_fit(rows: DataFrame, y: str, features: list[str]) -> DataFrame:
     a = np.zeros((k, k))
     for i, j in pairs:
         a[i, j] = a[j, i] = sums[f"s{i}_{j}"]
-    inverse = np.linalg.pinv(a, hermitian=True) if k else a
+    inverse = np.linalg.pinv(a, rcond=1e-10, hermitian=True) if k else a
     weights = inverse @ np.array([sums[f"t{i}"] for i in range(k)]) if k else np.zeros(0)
     fitted = sum((float(w) * c for w, c in zip(weights, centred, strict=True)), F.lit(float(means["my"])))
     leverage = sum((float(inverse[i, j]) * centred[i] * centred[j] for i in range(k) for j in range(k)), F.lit(1.0 / means["n"]))

@@ -129,8 +129,8 @@ _DRAW = "(('0x' || substr(md5({}), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE"
 def _f1(rows: str, by: str, kept: int = 7) -> str:
     """Mean F1 of constant or moving boxes ``rows`` (by, entity, frame, x) against the truth."""
     return f"""hit AS (SELECT {by}, p.entity, sum({_IOU.format(p='p.x')}) AS s FROM {rows} p JOIN truth t ON t.entity = p.entity AND t.frame = p.frame GROUP BY {by}, p.entity),
-        made AS (SELECT {by}, entity, count(*) AS k FROM {rows} GROUP BY {by}, entity),
-        f1s AS (SELECT {', '.join(f'made.{b.strip()}' for b in by.split(','))}, made.entity, 2 * coalesce(s, 0) / (k + n_truth) AS f1 FROM made JOIN nt USING (entity) LEFT JOIN hit ON hit.entity = made.entity AND {' AND '.join(f'hit.{b.strip()} = made.{b.strip()}' for b in by.split(','))})"""
+        made AS (SELECT {by}, entity, count(*) AS n_made FROM {rows} GROUP BY {by}, entity),
+        f1s AS (SELECT {', '.join(f'made.{b.strip()}' for b in by.split(','))}, made.entity, 2 * coalesce(s, 0) / (n_made + n_truth) AS f1 FROM made JOIN nt USING (entity) LEFT JOIN hit ON hit.entity = made.entity AND {' AND '.join(f'hit.{b.strip()} = made.{b.strip()}' for b in by.split(','))})"""
 
 
 _FEATURES = f"""{DETS}, {_CLIPS}, {_TRUTH},
@@ -143,15 +143,18 @@ _FEATURES = f"""{DETS}, {_CLIPS}, {_TRUTH},
 
 def _fit(names: list[str], out: str) -> str:
     """Least squares by making the features orthogonal one after another: fitted and left_out in ``out``."""
-    cols = ", ".join(f"{f} - avg({f}) OVER () AS x{i}" for i, f in enumerate(names))
-    steps = [f"{out}0 AS (SELECT entity, mu, gt{', ' + cols if cols else ''} FROM feats)"]
-    for i in range(len(names) - 1):
-        keep = ", ".join([f"x{j}" for j in range(i + 1)] + [f"x{j} - sum(x{j} * x{i}) OVER () / sum(x{i} * x{i}) OVER () * x{i} AS x{j}" for j in range(i + 1, len(names))])
-        steps.append(f"{out}{i + 1} AS (SELECT entity, mu, gt, {keep} FROM {out}{i})")
-    last = f"{out}{max(0, len(names) - 1)}"
-    fitted = " + ".join(["avg(gt) OVER ()"] + [f"sum(gt * x{i}) OVER () / sum(x{i} * x{i}) OVER () * x{i}" for i in range(len(names))])
-    leverage = " + ".join(["1.0::DOUBLE / count(*) OVER ()"] + [f"x{i} * x{i} / sum(x{i} * x{i}) OVER ()" for i in range(len(names))])
-    steps.append(f"{out}f AS (SELECT entity, mu, gt, {fitted} AS fitted, {leverage} AS lev FROM {last})")
+    x = lambda step, j: f"x{step}_{j}"
+    # a feature that the ones before it explain has nothing left
+    part = lambda y, v: f"CASE WHEN sum({v} * {v}) OVER () > 1e-12 THEN sum({y} * {v}) OVER () / sum({v} * {v}) OVER () * {v} ELSE 0 END"
+    k = len(names)
+    steps = [f"{out}0 AS (SELECT entity, mu, gt{''.join(f', {f} - avg({f}) OVER () AS {x(0, i)}' for i, f in enumerate(names))} FROM feats)"]
+    for i in range(k - 1):
+        rest = [f"{x(i, j)} - {part(x(i, j), x(i, i))} AS {x(i + 1, j)}" for j in range(i + 1, k)]
+        steps.append(f"{out}{i + 1} AS (SELECT *, {', '.join(rest)} FROM {out}{i})")
+    own = [x(i, i) for i in range(k)]
+    fitted = " + ".join(["avg(gt) OVER ()"] + [part("gt", v) for v in own])
+    leverage = " + ".join(["1.0::DOUBLE / count(*) OVER ()"] + [f"CASE WHEN sum({v} * {v}) OVER () > 1e-12 THEN {v} * {v} / sum({v} * {v}) OVER () ELSE 0 END" for v in own])
+    steps.append(f"{out}f AS (SELECT entity, mu, gt, {fitted} AS fitted, {leverage} AS lev FROM {out}{max(0, k - 1)})")
     steps.append(f"{out} AS (SELECT entity, mu, gt, fitted, gt - (gt - fitted) / (1 - lev) AS left_out FROM {out}f)")
     return ", ".join(steps)
 
@@ -210,8 +213,8 @@ ORACLE_SQL = {
     """,
     "xp11_left_out": f"WITH {_FEATURES}, {_fit(MODELS['all'], 'm')} SELECT entity, round(fitted, 6) AS fitted, round(left_out, 6) AS left_out FROM m",
     "xp11_fit_report": f"""
-        WITH {_FEATURES}, {', '.join(_fit(x, m) for m, x in MODELS.items())},
-        everything AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, * FROM {m}" for m in MODELS)}),
+        WITH {_FEATURES}, {', '.join(_fit(x, 'fit_' + m) for m, x in MODELS.items())},
+        everything AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, * FROM fit_{m}" for m in MODELS)}),
         boxes AS (SELECT model, entity, fr.frame, {_X.format(c='greatest(0.0::DOUBLE, least(1.0::DOUBLE, left_out))')} AS x FROM everything JOIN clips USING (entity), range(7) fr(frame)),
         {_f1("boxes", "model")}, means AS (SELECT model, avg(f1) AS f1 FROM f1s GROUP BY model),
         q AS (SELECT model, count(*) AS n, 1 - avg((gt - left_out) ** 2) / var_pop(gt) AS r2, sqrt(avg((gt - left_out) ** 2)) AS rmse, 1 - avg(abs(gt - left_out)) / avg(abs(mu - gt)) AS credit FROM everything GROUP BY model)
@@ -228,7 +231,7 @@ ORACLE_SQL = {
         WITH RECURSIVE {SIGNAL}, n AS (SELECT entity, frame, round(value, 6) AS score, count(*) OVER (PARTITION BY entity) AS m FROM s),
         l AS (SELECT *, 3 * m + 1 AS n, greatest(1, round_even(0.2::DOUBLE * (3 * m + 1), 0)) AS budget FROM n),
         k AS (SELECT *, least(m, greatest(1, round_even(budget * m / n, 0)))::INT AS len FROM l),
-        w AS (SELECT a.entity, a.frame AS i, a.len, a.m, a.n, round(sum(b.score) / a.len, 9) AS mean, count(*) AS c FROM k a JOIN k b ON a.entity = b.entity AND b.frame BETWEEN a.frame AND a.frame + a.len - 1 GROUP BY ALL),
+        w AS (SELECT a.entity, a.frame AS i, a.len, a.m, a.n, round(sum(b.score) / any_value(a.len), 9) AS mean, count(*) AS c FROM k a JOIN k b ON a.entity = b.entity AND b.frame BETWEEN a.frame AND a.frame + a.len - 1 GROUP BY ALL),
         c AS (SELECT entity, any_value(len) AS len, any_value(m) AS m, any_value(n) AS n, list({{'i': i, 'mean': mean}} ORDER BY mean DESC, i) AS ws FROM w WHERE c = len GROUP BY entity),
         g AS (SELECT entity, len, m, n, ws, 1 AS step, [ws[1].i] AS picks, ws[1].mean AS top, NULL::DOUBLE AS second FROM c
               UNION ALL SELECT entity, len, m, n, ws, step + 1, CASE WHEN nx IS NULL THEN picks ELSE list_append(picks, nx.i) END, top, CASE WHEN step = 1 THEN nx.mean ELSE second END

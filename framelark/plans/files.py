@@ -8,7 +8,7 @@ from ..functions.geometry import crop_size
 from ..operators import labels, score
 from ..sources import caches, folders, submissions
 from ..sources import frames as src
-from ._base import DETS, META, SIGNAL, rounded
+from ._base import CROP, DETS, META, SIGNAL, rounded
 from .experiments import ranking as _ranking
 
 _C = F.col
@@ -266,7 +266,7 @@ ORACLE_SQL = {
     "sc6_track_facts": "SELECT l_suppkey::VARCHAR AS video_id, l_linenumber::VARCHAR AS track, count(*) AS n, sum(l_orderkey)::BIGINT AS frames, round(sum(l_partkey % 1000 / 1000.0::DOUBLE), 6) AS cx, round(sum(l_quantity / 50), 6) AS area, round(sum(l_discount), 6) AS conf, max(l_returnflag) AS cls, (SELECT count(DISTINCT l_linenumber) FROM lineitem x WHERE x.l_suppkey = lineitem.l_suppkey) AS n_sampled FROM lineitem GROUP BY l_suppkey, l_linenumber",
     "sc6_signal_facts": f"WITH {SIGNAL}, n AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM s) SELECT entity::VARCHAR AS video_id, frame::INT AS frame, round(value, 6) AS motion, CASE WHEN frame < n - 2 THEN round(value, 6) END AS audio, NULL::DOUBLE AS person FROM n",
     "sc14_resumable": "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY user_id",
-    "sc13_full_frames": f"WITH {META} SELECT entity::VARCHAR AS video_id, tw, th FROM meta WHERE entity % 3 = 0",
+    "sc13_full_frames": f"WITH {META}, {CROP} SELECT entity::VARCHAR AS video_id, tw, th FROM crop WHERE entity % 3 = 0 OR (cw = w AND ch = h)",
     "sk1_submission": f"WITH {META} SELECT m.entity::VARCHAR AS video_id, tw, th, 12.5::DOUBLE AS size, frame::BIGINT AS frame, x, CASE WHEN x IS NOT NULL THEN 169.0::DOUBLE END AS w FROM meta m LEFT JOIN {_TRUTHS.format('F')} t ON t.entity = m.entity",
     "sk3_score_report": f"""
         WITH p AS {_TRUTHS.format('F')}, t AS {_TRUTHS.format('O')}, m AS (SELECT t.entity, t.frame, greatest(0, 169 - abs(p.x - t.x)) AS i FROM p JOIN t USING (entity, frame)),

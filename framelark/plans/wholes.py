@@ -25,7 +25,7 @@ def _clips(s, d):
     """A third each: no free axis, wide pictures with portrait crops, portrait pictures with wide crops."""
     k = _C("entity") % 3
     c = src.signal(s, d).groupBy("entity").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return arms.sized(c.select("entity", "n", F.when(k == 1, 640).otherwise(360).alias("W"), F.when(k == 1, 360).otherwise(640).alias("H"), F.when(k == 2, 16.0).otherwise(9.0).alias("tw"), F.when(k == 2, 9.0).otherwise(16.0).alias("th")))
+    return arms.sized(c.select("entity", "n", F.when(k == 1, 640).otherwise(360).alias("width"), F.when(k == 1, 360).otherwise(640).alias("height"), F.when(k == 2, 16.0).otherwise(9.0).alias("tw"), F.when(k == 2, 9.0).otherwise(16.0).alias("th")))
 
 
 def _signals(s, d):
@@ -75,7 +75,7 @@ def _black(s, d):
 def _base(s, d):
     """Centred boxes on all frames but the last 8 %."""
     c = _clips(s, d)
-    rows = c.select("entity", "W", "H", "cw", "ch", "axis", F.explode(F.sequence(F.lit(0), _C("n") - F.rint(0.08 * _C("n")).cast("int") - 1)).alias("frame"))
+    rows = c.select("entity", "width", "height", "cw", "ch", "axis", F.explode(F.sequence(F.lit(0), _C("n") - F.rint(0.08 * _C("n")).cast("int") - 1)).alias("frame"))
     x, y, w = arms.placed(arms.start(F.lit(0.5)))
     return rows.select("entity", "frame", x, y, w)
 
@@ -146,7 +146,7 @@ ORACLE_SQL = {
         sc AS (SELECT entity, frame, CASE WHEN a IS NULL THEN m ELSE (m + 0.5 * a) / 1.5 END AS score, n FROM r JOIN cl USING (entity)),
         sm AS (SELECT a.entity, a.frame, a.n, round(avg(b.score), 9) AS score FROM sc a JOIN (SELECT unnest(range(-2, 3)) AS o) ON true JOIN sc b ON b.entity = a.entity AND b.frame = greatest(0, least(a.n - 1, a.frame + o)) GROUP BY ALL),
         l AS (SELECT *, greatest(1, least(n, round_even(0.5::DOUBLE * n, 0)))::INT AS len FROM sm),
-        w AS (SELECT a.entity, a.frame AS i, a.n, a.len, round(sum(b.score) / a.len, 9) AS mean, count(*) AS c FROM l a JOIN l b ON a.entity = b.entity AND b.frame BETWEEN a.frame AND a.frame + a.len - 1 GROUP BY ALL),
+        w AS (SELECT a.entity, a.frame AS i, a.n, a.len, round(sum(b.score) / any_value(a.len), 9) AS mean, count(*) AS c FROM l a JOIN l b ON a.entity = b.entity AND b.frame BETWEEN a.frame AND a.frame + a.len - 1 GROUP BY ALL),
         best AS (SELECT * FROM w WHERE c = len QUALIFY row_number() OVER (PARTITION BY entity ORDER BY mean DESC, i) = 1),
         cut AS (SELECT entity, i AS f0, least(i + len, n - round_even(0.08::DOUBLE * n, 0))::INT AS f1, (n - round_even(0.08::DOUBLE * n, 0))::INT AS last FROM best),
         win AS (SELECT entity, CASE WHEN f1 - f0 < 1 THEN 0 ELSE f0 END AS f0, CASE WHEN f1 - f0 < 1 THEN greatest(1, last) ELSE f1 END AS f1 FROM cut),
@@ -167,9 +167,9 @@ ORACLE_SQL = {
         pd AS (SELECT entity, frame, 'dog' AS cls, 0.5::DOUBLE AS conf, frame % 7 / 7.0::DOUBLE AS cx, 0.2::DOUBLE AS cy, 0.1::DOUBLE AS area FROM pf WHERE value > 30),
         hdt AS (SELECT entity, frame, 'person' AS cls, 0.9::DOUBLE AS conf, 0.5::DOUBLE AS cx, greatest(0.0::DOUBLE, least(1.0::DOUBLE, frame % 5 / 10.0::DOUBLE + 0.24 * 0.4)) AS cy, 0.3::DOUBLE AS area FROM hf),
         sf AS (SELECT entity, frame FROM pf UNION ALL SELECT entity, frame FROM mf WHERE entity % 8 <> 0), sd AS (SELECT * FROM pd UNION ALL SELECT * FROM md WHERE entity % 8 <> 0),
-        cells AS (SELECT sf.entity, sf.frame, k.kind, axis, cls, conf, CASE WHEN axis = 'x' THEN cx ELSE cy END AS at, area FROM sf JOIN cl USING (entity) CROSS JOIN (SELECT unnest(['person', 'pet']) AS kind) k
+        cells AS (SELECT sf.entity, sf.frame, k.kind, axis, cls, conf, CASE WHEN axis = 'x' THEN cx ELSE cy END AS side, area FROM sf JOIN cl USING (entity) CROSS JOIN (SELECT unnest(['person', 'pet']) AS kind) k
                  LEFT JOIN sd ON sd.entity = sf.entity AND sd.frame = sf.frame AND (CASE WHEN cls IN ('cat', 'dog') THEN 'pet' ELSE cls END) = k.kind),
-        per AS (SELECT entity, frame, kind, greatest(0, least(1, sum(conf * area * at) / sum(conf * area))) AS center, count(cls) AS n FROM cells GROUP BY ALL),
+        per AS (SELECT entity, frame, kind, CASE WHEN count(cls) > 0 THEN greatest(0, least(1, sum(conf * area * side) / sum(conf * area))) END AS center, count(cls) AS n FROM cells GROUP BY ALL),
         has AS (SELECT entity, coalesce(bool_or(center IS NOT NULL) FILTER (kind = 'person'), false) AS p, coalesce(bool_or(center IS NOT NULL) FILTER (kind = 'pet'), false) AS t FROM per GROUP BY entity),
         pick AS (SELECT entity, CASE WHEN t AND entity % 8 = 0 THEN 'pet' WHEN p THEN 'person' WHEN t THEN 'pet' END AS kind FROM has),
         s1 AS (SELECT per.* FROM per JOIN pick USING (entity, kind)),
