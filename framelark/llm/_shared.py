@@ -151,3 +151,8 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def named(column: str):
+    """The column of exactly this name, with dots or backticks in it too."""
+    return F.col("`" + column.replace("`", "``") + "`")

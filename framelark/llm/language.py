@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import documents, fresh, prepare
+from ._shared import documents, fresh, named, prepare
 
 SIZE = 8192
 ORDERS = (1, 2, 3)
@@ -114,7 +114,8 @@ def identify(docs: DataFrame, model: KernelRidge | None, batch: int = 128) -> Da
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     got = fresh(docs, "_guess")
-    return docs.select(*rest, guess("text").alias(got)).select(*rest, f"{got}.lang_pred", f"{got}.score")
+    kept = [named(c) for c in rest]
+    return docs.select(*kept, guess("text").alias(got)).select(*kept, f"{got}.lang_pred", f"{got}.score")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

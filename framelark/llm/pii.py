@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, documents
+from ._shared import cut, documents, fresh, named
 
 #: The base kinds in their order and their patterns. Possessive repeats and the guards before a
 #: first character change no match; they keep the search linear in the text.
@@ -33,6 +34,10 @@ KINDS = [*BASE, *ADDED]
 LABELERS = ["strict", "gazetteer", "assigned", "alphabet", "apart"]
 
 
+#: Code points before a span that labelers look at, and how many matches before it can stand in them (the shortest one has five).
+NEAR, BACK = 32, 7
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once."""
     return F.transform(F.array(value), use)[0]
@@ -50,17 +55,41 @@ def running(numbers: Column, block: int = 256) -> Column:
 
 
 def find(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, text>> in code points.
+    """Leftmost non-overlapping matches as array<struct<start, end, text, before>> in code points; ``before``: the ``NEAR`` code points that stand before a match.
 
-    What stands between matches and the matches' own lengths add up to their places.
+    What stands between matches and the matches' own lengths add up to their places. What stands before one is put together from the gaps and matches
+    before it, so that the whole text isn't walked for each.
     """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    ends = lambda parts: F.transform(parts, lambda x: F.right(x, F.lit(NEAR)))
+
+    def before(m: Column, g: Column, i: Column) -> Column:
+        part = lambda x, k: F.coalesce(F.get(x, i - k), F.lit(""))
+        return F.right(F.concat(*(part(x, k) for k in range(BACK, 0, -1) for x in (g, m)), part(g, 0)), F.lit(NEAR))
+
+    def places(m: Column, g: Column) -> Column:
+        lengths = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)), lambda x, y: F.length(x) + F.length(y))
+        near = let(ends(m), lambda mt: let(ends(g), lambda gt: F.transform(m, lambda _, i: before(mt, gt, i))))
+        return F.zip_with(F.zip_with(m, running(lengths), lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("text"))), near, lambda p, x: F.struct(p["start"], p["end"], p["text"], x.alias("before")))
+
+    return let(matches, lambda m: let(gaps, lambda g: places(m, g)))
+
+
+def starting_before(spans: Column, end: Column) -> Column:
+    """How many of some spans, sorted by start, start before ``end``; found by halving."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        right = F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))
+        return F.when(a["lo"] >= a["hi"], a).when(F.get(spans, mid)["start"] < end, right).otherwise(F.struct(a["lo"].alias("lo"), mid.alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda a: a["lo"])
 
-    def places(m: Column) -> Column:
-        lengths = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda x, g: F.length(x) + F.length(g))
-        return F.zip_with(m, running(lengths), lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("text")))
 
-    return let(matches, places)
+def touches(s: Column, spans: Column) -> Column:
+    """Whether ``s`` has a code point in common with one of ``spans``, which don't overlap and are sorted: the last one that starts before its end tells."""
+    return let(starting_before(spans, s["end"]), lambda n: F.coalesce(F.get(spans, n - 1)["end"] > s["start"], F.lit(False)))
 
 
 def digits(s: Column) -> Column:
@@ -89,12 +118,12 @@ CHECKS = {
 
 
 def spans(text: Column, kind: str, pattern: str, check=None, need: Column | None = None) -> Column:
-    """Matches of a kind that pass its check, as array<struct<start, kind, end, text>> (kind by number, for sorting)."""
+    """Matches of a kind that pass its check, as array<struct<start, kind, end, text, before>> (kind by number, for sorting)."""
     found = find(text, pattern)
     if check:
         found = F.filter(found, lambda s: check(s["text"]))
-    found = F.transform(found, lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("kind"), s["end"], s["text"]))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,text:string>>")
+    found = F.transform(found, lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("kind"), s["end"], s["text"], s["before"]))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,text:string,before:string>>")
     return F.when(need, found).otherwise(none) if need is not None else found
 
 
@@ -103,15 +132,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     labelers' votes) and ``more``: further candidates that touch no base span, with votes."""
     digit = F.col("_t").rlike("[0-9]")
     need = {"email": F.col("_t").contains("@"), "ip": digit, "card": F.col("_t").rlike("[0-9](?:[ -]?[0-9]){13}"), "phone": F.col("_t").contains("+"), "local_phone": digit, "secret": digit, "iban": digit}
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "base", "found")]
-    rows = docs.select(F.struct(*rest, F.lit(None).cast("int").alias("_none")).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    rows = rows.withColumn("base", F.array_sort(F.concat(*(spans(F.col("_t"), k, p, CHECKS[k], need[k]) for k, p in BASE.items()))))
-    added = F.concat(*(spans(F.col("_t"), k, p, None, need[k]) for k, p in ADDED.items()))
-    rows = rows.withColumn("more", F.array_sort(F.filter(added, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
+    rest = [named(c) for c in docs.columns if c not in ("text", "base", "found")]
+    spare = F.lit(None).cast("int").alias(fresh(docs, "_none"))  # a struct needs a field
+    rows = docs.select(F.struct(*rest, spare).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    rows = rows.select("row", *(spans(F.col("_t"), k, p, CHECKS[k], need[k]).alias(k) for k, p in BASE.items()), F.concat(*(spans(F.col("_t"), k, p, None, need[k]) for k, p in ADDED.items())).alias("added"))
+    free = F.filter("added", lambda s: ~reduce(lambda x, y: x | y, (touches(s, F.col(k)) for k in BASE)))
+    rows = rows.select("row", F.array_sort(F.concat(*BASE)).alias("all"), F.array_sort(free).alias("more"))
 
     def vote(s: Column) -> Column:
-        before = F.substring(F.col("_t"), F.greatest(F.lit(1), s["start"] - 31), F.least(s["start"], F.lit(32)))
-        t = s["text"]
+        before, t = s["before"], s["text"]
         number, letters = F.length(digits(t)), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
         strict = (
             F.when(s["kind"] < len(BASE), F.lit(True))
@@ -129,7 +158,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         code = sum((F.when(votes[n], 1 << i).otherwise(0) for i, n in enumerate(LABELERS)), F.lit(0))
         return F.struct(s["start"], s["kind"], s["end"], s["text"], code.cast("int").alias("votes"))
 
-    return rows.withColumn("more", F.transform("more", vote)).withColumn("anchor", F.transform("base", vote)).drop("_t")
+    plain = F.transform("all", lambda s: F.struct(s["start"], s["kind"], s["end"], s["text"]))
+    return rows.select("row", plain.alias("base"), F.transform("more", vote).alias("more"), F.transform("all", vote).alias("anchor"))
 
 
 #: Labelers that say something about base spans; the others abstain there. On the added kinds all of them vote.
@@ -200,7 +230,7 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Base spans are those of the fixed patterns that pass their checks; ``found`` has these and the candidates the classifier takes. Null or
     empty text has none. Places are code points, the end exclusive. Rows are judged by themselves, so ids may be null or repeat; all other
-    columns stay, whatever their names (``base`` and ``found`` are replaced).
+    columns stay, whatever their names (dots too) (``base`` and ``found`` are replaced).
     The classifier is fitted on counts of vote patterns over all documents (7 kinds x 32 patterns at most).
     """
     rows = cut(candidates(docs), "pii")

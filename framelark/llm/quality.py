@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, cut, documents, fresh, mix, prepare
+from ._shared import WordHashes, cut, documents, fresh, mix, named, prepare
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_marks", "n_worded_lines"]
@@ -64,7 +64,8 @@ def with_features(docs: DataFrame) -> DataFrame:
         return pd.DataFrame([count_features(t, h) for t in text], columns=names, dtype="int64")
 
     rest, got = [c for c in docs.columns if c not in names], fresh(docs, "_counts")
-    return docs.select(*rest, count("text").alias(got)).select(*rest, *(F.col(got)[n].alias(n) for n in names))
+    kept = [named(c) for c in rest]
+    return docs.select(*kept, count("text").alias(got)).select(*kept, *(F.col(got)[n].alias(n) for n in names))
 
 
 def upper_bound(rejected: int, n: int, wrong: float) -> float:
@@ -145,7 +146,7 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     # a row for each stratum that has rules; each needs hundreds of labelled documents, so they are few
     table = docs.sparkSession.createDataFrame([(k, *(c[r] for r in RULES)) for k, c in cutoffs.items()], "_stratum string, " + ", ".join(f"_{r} double" for r in RULES))
     rest = [c for c in features.columns if c not in ("base_failed", "rejected_by", "kept")]
-    kept = features.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("r"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s")).join(F.broadcast(table), F.col("s") == F.col("_stratum"), "left")
+    kept = features.select(F.struct(*map(named, rest)).alias("r"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("s")).join(F.broadcast(table), F.col("s") == F.col("_stratum"), "left")
     kept = kept.select("r.*", F.array_sort(F.array_compact(F.array(*(F.when(F.expr(re.sub(r"\bn_|\bword_", lambda m: "r." + m[0], x)) > F.col(f"_{n}"), F.lit(n)) for n, x in RULES.items())))).alias("rejected_by"))
     return kept.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, clean, documents, fresh, prepare, words
+from ._shared import WordHashes, clean, documents, fresh, named, prepare, words
 
 FOLDS = 5
 
@@ -166,8 +166,9 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.2) -> DataF
 
     rest = [c for c in docs.columns if c not in (*names, "toxic")]
     got = fresh(docs, "_judged")
-    judged = docs.select(*rest, judge("text").alias(got))
-    return judged.select(*rest, *(F.col(got)[n].alias(n) for n in names), (F.col(got)[names[-1]] >= threshold).alias("toxic"))
+    kept = [named(c) for c in rest]
+    judged = docs.select(*kept, judge("text").alias(got))
+    return judged.select(*kept, *(F.col(got)[n].alias(n) for n in names), (F.col(got)[names[-1]] >= threshold).alias("toxic"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
