@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def half_away(x: Column, places: int) -> Column:
-    """A double rounded on its binary value, half away from zero; numbers too large to have such places stay."""
-    scaled = F.abs(x) * 10.0**places
-    return F.when(scaled < 1e15, F.signum(x) * F.floor(scaled + 0.5) / 10.0**places).otherwise(x)
-
-
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles cut to ``places``, so that the order of a sum doesn't show."""
-    return df.select(*(half_away(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def rounded_even(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded half to even on their binary value (``round_even(x * 1e6, 0) / 1e6`` in SQL), for values that both engines have alike to the last bit."""
+    scale = 10.0**places
+    return df.select(*((F.rint(F.col(c) * scale) / scale).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 META = "meta AS (SELECT o_orderkey AS entity, (360 + o_orderkey % 5 * 90)::DOUBLE AS w, 640.0::DOUBLE AS h, CASE WHEN o_orderkey % 2 = 0 THEN 16.0::DOUBLE ELSE 9.0::DOUBLE END AS tw, CASE WHEN o_orderkey % 2 = 0 THEN 9.0::DOUBLE ELSE 16.0::DOUBLE END AS th, 8 AS n_frames FROM orders)"

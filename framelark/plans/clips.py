@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources import frames as src
-from ._base import CROP, META, rounded
+from ._base import CROP, META, rounded, rounded_even
 
 _LINES = "SELECT entity, w, h, cw, ch, tw, th, l_linenumber AS line, (l_partkey % 1000) / 1000.0::DOUBLE AS c, (l_suppkey % 100) / 100.0::DOUBLE AS cy, l_quantity / 50 AS area, l_partkey AS part, l_suppkey AS supp, l_quantity AS q, l_discount AS disc FROM crop JOIN lineitem ON l_orderkey = entity"
 
@@ -67,7 +67,7 @@ QUERIES = {
     "pr18_lerp": lambda s, d: lines(s, d).select("entity", "line", "part", "supp", "q", g.lerp(F.array(*(_C(c).cast("double") for c in ("line", "part", "supp", "q"))), F.array(F.lit(9.0), F.lit(99.0), F.lit(5.0), _C("q") * 3), _C("disc") * 5).alias("m")).select("entity", "line", "part", "supp", "q", *(F.col("m")[i].alias(f"m{i}") for i in range(4))),
     "pr19_even_indices": lambda s, d: src.meta(s, d).select("entity", F.explode(g.even_indices((_C("entity") % 40).cast("int"), 6)).alias("place")),
     "pr20_kept_frames": lambda s, d: src.meta(s, d).select("entity", g.kept_frames((_C("entity") % 40).cast("int"), 0.08).alias("n")),
-    "pr21_ceilings": _of_lines(lambda: [c.alias(n) for n, c in g.ceilings(_C("c"), _C("q")).items()]),
+    "pr21_ceilings": lambda s, d: rounded_even(lines(s, d).select("entity", "line", "part", "supp", "q", *(c.alias(n) for n, c in g.ceilings(_C("c"), _C("q")).items()))),
     "pr22_coordinate_scale": _of_lines(lambda: [g.unit_coordinate(_C("part") * 0.75, _C("w")).alias("unit"), g.scale_of(F.array(-_C("q") * 4, _C("area"))).alias("scale")]),
     "pr23_crop_width": lambda s, d: rounded(crops(s, d).select("entity", (_C("cw") / _C("w")).alias("share"))),
     "pr24_safe_ratio": _clips(lambda: g.safe_ratio(F.split(F.concat((_C("entity") % 5 - 1).cast("string"), F.lit(":"), F.when(_C("entity") % 3 == 0, "x").otherwise((_C("entity") % 4).cast("string"))), ":")), "tw", "th"),
@@ -102,7 +102,7 @@ ORACLE_SQL = {
     "pr18_lerp": f"{_ON} SELECT {_KEYS}, " + ", ".join(f"round_even({a}::DOUBLE + ({b} - {a}::DOUBLE) * (disc * 5), 0)::INT AS m{i}" for i, (a, b) in enumerate((("line", "9.0::DOUBLE"), ("part", "99.0::DOUBLE"), ("supp", "5.0::DOUBLE"), ("q", "q * 3")))) + " FROM lines",
     "pr19_even_indices": f"WITH {META} SELECT DISTINCT entity, round_even(i * (entity % 40 - 1) / 5, 0)::INT AS place FROM meta, range(6) r(i) WHERE entity % 40 > 0",
     "pr20_kept_frames": f"WITH {META} SELECT entity, greatest(1, entity % 40 - round_even((entity % 40) * 0.08::DOUBLE, 0))::INT AS n FROM meta",
-    "pr21_ceilings": f"{_ON} SELECT {_KEYS}, round(2 * c / (1 + q), 6) AS all_found, round(2 * c * q / (1 + q), 6) AS all_right FROM lines",
+    "pr21_ceilings": f"{_ON} SELECT {_KEYS}, round_even(2 * c / (1 + q) * 1e6, 0) / 1e6 AS all_found, round_even(2 * c * q / (1 + q) * 1e6, 0) / 1e6 AS all_right FROM lines",
     "pr22_coordinate_scale": f"{_ON}, v AS (SELECT *, part * 0.75::DOUBLE AS v, greatest(q * 4, area) AS top FROM lines) SELECT {_KEYS}, round(least(1, greatest(0, CASE WHEN v <= 1.5 THEN v WHEN v <= 1000 THEN v / 1000 ELSE v / w END)), 6) AS unit, CASE WHEN top <= 1.5 THEN 1.0::DOUBLE WHEN top <= 150 THEN 100.0::DOUBLE ELSE 1000.0::DOUBLE END AS scale FROM v",
     "pr23_crop_width": f"WITH {META}, {CROP} SELECT entity, round(cw / w, 6) AS share FROM crop",
     "pr24_safe_ratio": f"WITH {META}, t AS (SELECT entity, entity % 5 - 1 AS a, CASE WHEN entity % 3 <> 0 THEN entity % 4 END AS b FROM meta) SELECT entity, CASE WHEN a > 0 AND b > 0 THEN a::DOUBLE ELSE 16.0::DOUBLE END AS tw, CASE WHEN a > 0 AND b > 0 THEN b::DOUBLE ELSE 9.0::DOUBLE END AS th FROM t",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pool, trials
 from ..sources import frames as src
-from ._base import DETS, SIGNAL, rounded
+from ._base import DETS, SIGNAL, rounded, rounded_even
 
 
 def _pairs(s, d):
@@ -28,7 +28,7 @@ def _bins(df, value):
 
 
 QUERIES = {
-    "jn17_grid": lambda s, d: rounded(_grid(s, d).select("entity", "beta", "gain")),
+    "jn17_grid": lambda s, d: rounded_even(_grid(s, d).select("entity", "beta", "gain")),
     "xp2_correlation": lambda s, d: rounded(src.detections(s, d).groupBy("entity").agg(F.corr("c", "area").alias("r"), F.abs(F.corr("c", "area")).alias("abs_r"))),
     "xp3_residual_sd": lambda s, d: rounded(_pairs(s, d).agg(F.regr_slope("g", "y").alias("beta"), F.stddev_samp("g").alias("sd"), F.sqrt(F.var_samp("g") - F.pow(F.covar_samp("g", "y"), 2) / F.var_samp("y")).alias("residual_sd"))),
     "xp4_displacement": lambda s, d: rounded(trials.displacement(src.signal(s, d), "value")),
@@ -63,7 +63,7 @@ def _fit(rows: str, a: str, b: str, y: str) -> str:
 
 
 ORACLE_SQL = {
-    "jn17_grid": f"WITH {_GRID} SELECT entity, beta, round(gain, 6) AS gain FROM grid",
+    "jn17_grid": f"WITH {_GRID} SELECT entity, beta, round_even(gain * 1e6, 0) / 1e6 AS gain FROM grid",
     "xp2_correlation": f"WITH {DETS} SELECT entity, round(corr(c, area), 6) AS r, round(abs(corr(c, area)), 6) AS abs_r FROM dets GROUP BY entity",
     "xp3_residual_sd": f"WITH {_PAIRS} SELECT round(regr_slope(g, y), 6) AS beta, round(stddev_samp(g), 6) AS sd, round(sqrt(var_samp(g) - covar_samp(g, y) ** 2 / var_samp(y)), 6) AS residual_sd FROM pairs",
     "xp4_displacement": f"WITH {SIGNAL}, e AS (SELECT quantile_cont(value, 0.5) AS m, stddev_pop(value) AS sd FROM s GROUP BY entity HAVING count(*) >= 3) SELECT count(*) AS n, round(stddev_pop(m), 6) AS bias_sd, round(avg(sd), 6) AS jitter_sd FROM e",
