@@ -61,6 +61,17 @@ def noise_curve(truth: DataFrame, clips: DataFrame, clutter: DataFrame, sigmas:
     return got.groupBy(F.col("what.k").alias("k")).agg(*(pick(a) for a in kinds)).select(sigma.alias("sigma"), *kinds)
 
 
+def nearest_ceiling(truth: DataFrame, clips: DataFrame, drop: float = 0.08) -> DataFrame:
+    """Per entity of ``truth`` the F1 of boxes that stand, on every kept frame of its clip (entity, n), where the nearest true box stands (ties: the earlier): what a perfect centre reaches without knowing which frames count."""
+    last = truth.groupBy("entity").agg(F.max("frame").alias("top"))
+    kept = clips.select("entity", kept_frames(F.col("n"), drop).alias("kept")).join(last, "entity")
+    boxes = truth.select("entity", "frame", F.struct(*BOX).alias("y"))
+    near = sequence.interpolate(boxes.withColumn("y", F.col("y.x")), kept.select("entity", F.greatest(F.col("kept"), F.col("top") + 1).alias("n"))).select("entity", "frame", "nearest")
+    size = truth.groupBy("entity").agg(F.first("y").alias("y"), F.first("w").alias("w"), F.first("h").alias("h"))
+    pred = near.join(kept.select("entity", "kept"), "entity").where(F.col("frame") < F.col("kept")).join(size, "entity").select("entity", "frame", F.col("nearest").alias("x"), "y", "w", "h")
+    return score.score_entities(pred, truth).select("entity", "f1")
+
+
 def marginal_inclusion(series: DataFrame, hit: Column, overlap: float, bins: int = 50, most_rounds: int = 20) -> DataFrame:
     """The rounds of the rule "keep a part of the clip if its hit rate is above F1 / (2 * overlap)", until nothing changes: round, threshold, n_bins, n_kept, f1, settled.
 

@@ -36,6 +36,13 @@ def distance_grid(centers: DataFrame, distances: list[float]) -> DataFrame:
     return centers.select("median", grid).groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("n_gated"), F.avg(F.when(near, 0.5).otherwise(F.col("median"))).alias("mean_center"))
 
 
+def sign_consistent(centers: DataFrame, others: DataFrame) -> DataFrame:
+    """Per entity of ``centers`` (entity, median): its centre where that of ``others`` lies on the same side of the middle, else 0.5; ``gated`` tells. An entity that ``others`` lacks is gated."""
+    r = centers.select("entity", "median").join(others.select("entity", F.col("median").alias("_o")), "entity", "left")
+    same = F.coalesce(F.signum(F.round("median", 9) - 0.5) == F.signum(F.round("_o", 9) - 0.5), F.lit(False))
+    return r.select("entity", F.when(same, F.col("median")).otherwise(0.5).alias("center"), (~same).alias("gated"))
+
+
 def with_evidence(rows: DataFrame, name: str, least: int) -> DataFrame:
     """Entities with ``least`` values or more that aren't all alike: n, mean, sd."""
     return rows.groupBy("entity").agg(F.count(name).alias("n"), F.avg(name).alias("mean"), F.stddev_pop(name).alias("sd")).where((F.col("n") >= least) & (F.col("sd") > 1e-9))

@@ -30,9 +30,9 @@ def in_interval(frames: DataFrame, intervals: DataFrame, factor: float = 1.0) ->
     return marked.where(F.col("_in") | ~F.col("_any")).drop("_in", "_any", "start", "end")
 
 
-def containing(points: DataFrame, spans: DataFrame, point: Column) -> DataFrame:
-    """Rows of ``points`` whose ``point`` lies in a span (entity, lo, hi, name) of its entity, both ends included: one row for each pair."""
-    return points.withColumn("_x", point).join(spans, "entity").where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))).drop("_x")
+def containing(points: DataFrame, spans: DataFrame, point: Column, keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """Rows of ``points`` whose ``point`` lies in a span (entity, lo, hi, name) of its entity, both ends included: one row for each pair. With ``keys`` entity and frame only spans of the same frame count."""
+    return points.withColumn("_x", point).join(spans, list(keys)).where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))).drop("_x")
 
 
 def coverage(truth: DataFrame, dets: DataFrame) -> DataFrame:

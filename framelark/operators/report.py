@@ -7,28 +7,39 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 
 def placed(rows: DataFrame, lead: Column, order: list, parts: int = 32) -> DataFrame:
     """``rows`` with their ``place`` (from 1) in a global order, of which ``lead`` (a number, ascending; nulls last) is the first part.
 
-    Rows go to ranges of ``lead``, cut at about equal counts, and are numbered in each; a range begins after the rows of the ranges before. No task sorts all rows.
+    Rows go to ranges of the whole order, so rows with equal ``lead`` spread as well, are sorted there and written once with their place in the range; a range begins after the rows of
+    the ranges before. No task sorts all rows, and the input runs twice (a sample for the ranges, then the rows).
     """
-    keyed = rows.withColumn("_lead", lead.cast("double"))
-    edges = keyed.agg(F.percentile_approx("_lead", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0] or []
-    number = F.coalesce(sum(((F.col("_lead") > e).cast("int") for e in sorted(set(edges))), F.lit(0)), F.lit(parts))
-    keyed = keyed.withColumn("_range", number)
+    spark = rows.sparkSession
+    by = [lead.cast("double").asc_nulls_last(), *order]
+    path = shared_folder(spark, "places")
+    ranges = rows.repartitionByRange(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by).sortWithinPartitions(*by)
+    # the upper bits of the number are the range, the lower 33 the place in it
+    ranges.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    back = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
     # a row for each range
-    before = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.sum("_m").over(Window.orderBy("_range")) - F.col("_m")).drop("_m")
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return keyed.withColumn("_w", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_w") + F.col("_before")).drop("_lead", "_range", "_w", "_before")
+    before = back.groupBy("_range").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.sum("_m").over(Window.orderBy("_range")) - F.col("_m")).drop("_m")
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return back.join(F.broadcast(before), "_range").withColumn("place", within + F.col("_before") + 1).drop("_at", "_range", "_before")
+
+
+def samples(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key by ``order``."""
+    return rows.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_p") <= n).drop("_p")
 
 
 def index_quantiles(rows: DataFrame, name: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row with the values at place floor(n * q) of the sorted values (from 0), nulls left out: q25, q50, ... Not interpolated; the median is the upper one."""
-    values = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("v"))
+    values = placed(rows.where(F.col(name).isNotNull()).select(F.col(name).alias("v")), F.col("v"), ["v"])
     n = values.count()
     at = lambda q: F.max(F.when(F.col("place") == min(math.floor(n * q), n - 1) + 1, F.col("v"))).alias(f"q{round(q * 100)}")
-    return placed(values, F.col("v"), ["v"]).agg(*map(at, shares))
+    return values.agg(*map(at, shares))
 
 
 def totals(scores: DataFrame) -> DataFrame:

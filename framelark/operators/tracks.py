@@ -23,9 +23,12 @@ MASK_RULES = {
 }
 
 
-def track_stats(entries: DataFrame) -> DataFrame:
-    """Per entity and track of ``entries`` (entity, track, frame, area, conf, cls, pos): presence among the entity's frames, areas, confidence, the class first seen."""
-    frames = entries.groupBy("entity").agg(F.count_distinct("frame").alias("_n"))
+def track_stats(entries: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Per entity and track of ``entries`` (entity, track, frame, area, conf, cls, pos): presence, areas, confidence, the class first seen.
+
+    Presence is among the sampled frames of the entity (``samples``: entity, n_sampled), or among its frames that have entries where no samples are given.
+    """
+    frames = entries.groupBy("entity").agg(F.count_distinct("frame").alias("_n")) if samples is None else samples.select("entity", F.col("n_sampled").alias("_n"))
     out = entries.groupBy("entity", "track").agg(
         F.count(F.lit(1)).alias("n"), F.avg("area").alias("mean_area"), F.sum("area").alias("sum_area"), F.max("area").alias("max_area"), F.avg("conf").alias("mean_conf"),
         F.min_by("cls", F.struct("frame", "pos")).alias("first_cls"),

@@ -63,6 +63,17 @@ def picked_on_half(rows: DataFrame, parameter: str, gain: str, splits: int) -> D
     return r.withColumn("_p", F.row_number().over(order)).where("_p = 1").select("split", parameter, "held_out")
 
 
+def held_out_cuts(rows: DataFrame, stat: str, delta: str, shares: list[float], splits: int) -> DataFrame:
+    """For each share q: the mean over splits of what the held-out half gains if ``delta`` counts only at or below the (1 - q) quantile of ``stat`` on the train half, its standard error, and the mean cut."""
+    r = halves(rows, splits)
+    cuts = r.where("train").groupBy("split").agg(F.percentile(stat, F.array(*(F.lit(1 - q) for q in shares))).alias("cs"))
+    cuts = cuts.select("split", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("q"), F.col("cs").alias("cut"))).alias("z")).select("split", "z.q", "z.cut")
+    # a row for each split and share
+    test = r.where("NOT train").join(F.broadcast(cuts), "split")
+    each = test.groupBy("q", "split").agg(F.avg(F.when(F.col(stat) <= F.col("cut"), F.col(delta)).otherwise(0.0)).alias("gain"), F.first("cut").alias("cut"))
+    return each.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.avg("gain").alias("mean"), (F.stddev_samp("gain") / F.sqrt(F.count(F.lit(1)))).alias("se"), F.avg("cut").alias("cut"))
+
+
 def grid_curve(rows: DataFrame, parameter: str, gain: str) -> DataFrame:
     """Per parameter value: mean gain and its standard error."""
     return rows.groupBy(parameter).agg(F.count(F.lit(1)).alias("n"), F.avg(gain).alias("mean"), (F.stddev_samp(gain) / F.sqrt(F.count(F.lit(1)))).alias("se"))

@@ -117,6 +117,7 @@ QUERIES = {
     "ar9_experiment_ranking": ranking,
     "iv11_greedy_windows": greedy,
     "xp22_track_arms": arms,
+    "xp14_nearest_ceiling": lambda s, d: rounded(experiments.nearest_ceiling(_truth(s, d), _clips(s, d))),
 }
 
 _CLIPS = "clips AS (SELECT s_suppkey AS entity, (360 + s_suppkey % 5 * 90)::DOUBLE AS width FROM supplier)"
@@ -240,6 +241,11 @@ ORACLE_SQL = {
         h AS (SELECT *, greatest(0, least(n - 1, round_even(list_min(p) * n / m, 0)))::INT AS a, round_even((list_max(p) + len) * n / m, 0)::INT AS b FROM e)
         SELECT entity, a AS start, greatest(a + 1, least(n, b))::INT AS "end", len(p)::INT AS windows FROM h
     """,
+    "xp14_nearest_ceiling": f"""
+        WITH {_CLIPS}, {_TRUTH}, boxes AS (SELECT 1 AS one, clips.entity, fr.frame, near.x FROM clips JOIN nt USING (entity), range(7) fr(frame), LATERAL (SELECT t.x FROM truth t WHERE t.entity = clips.entity ORDER BY abs(t.frame - fr.frame), t.frame LIMIT 1) near),
+        {_f1("boxes", "one")}
+        SELECT entity, round(f1, 6) AS f1 FROM f1s
+    """,
     "xp22_track_arms": f"""
         WITH {_CLIPS}, {_TRUTH},
         raw AS (SELECT l_suppkey AS entity, l_linenumber % 3 AS track, (l_orderkey % 8)::INT AS frame, l_partkey % 1000 / 1000.0::DOUBLE AS c, l_quantity / 50 AS area FROM lineitem

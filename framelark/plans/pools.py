@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import match, pool, report, score, tracks
+from ..operators import gates, match, pool, report, score, tracks, trials
 from ..sources import frames as src
 from ._base import DETS, META, SIGNAL, rounded
 
@@ -209,3 +209,42 @@ ORACLE_SQL = {
     "ag37_person_frames": f"WITH {DETS} SELECT entity, frame, round(greatest(0, least(1, sum(conf * area * c) / sum(conf * area))), 6) AS center, count(*) AS n FROM dets WHERE cls = 'R' AND conf >= 0.2 GROUP BY ALL HAVING sum(conf * area) > 0",
     "ag38_median_or_half": f"WITH {_ORDERPOOL} SELECT o_orderkey AS entity, round(coalesce(m, 0.5), 6) AS center FROM orders LEFT JOIN (SELECT entity, quantile_cont(center, 0.5) AS m FROM op WHERE cls = 'R' GROUP BY 1) ON entity = o_orderkey",
 }
+
+
+def _sparse(s, d):
+    """Few detections a frame: one order in 37."""
+    return pool.entity_centers(pool.pool_frames(src.detections(s, d).where("l_orderkey % 37 = 0")))
+
+
+def _kinds(s, d):
+    return src.table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.when(F.col("s_acctbal") > 7000, "pet").otherwise("person").alias("kind"))
+
+
+def _gains(s, d):
+    """Per order a gain and how cluttered it is."""
+    li = src.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("entity")).agg((F.avg(F.col("l_partkey") % 1000) / 1000).alias("g"), (F.avg("l_quantity") / 50).alias("stat"))
+    return li.select("entity", "stat", (F.col("g") - 0.5).alias("delta"))
+
+
+QUERIES |= {
+    "jn11_spatial_frames": lambda s, d: rounded(match.containing(src.detections(s, d).select("entity", "frame", "c", "l_orderkey", "l_extendedprice"), _truth(s, d).select("entity", "frame", "lo", "hi"), F.col("c"), ("entity", "frame")).groupBy("entity", "frame").agg(F.count(F.lit(1)).alias("n"))),
+    "ag13_sampled_presence": lambda s, d: rounded(tracks.track_stats(_entries(s, d), src.table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), (F.col("s_suppkey") % 3 * 100).alias("n_sampled"))).select("entity", "track", "n", "presence")),
+    "fl19_single_subject": lambda s, d: rounded(gates.compound(_kinds(s, d), _sparse(s, d), 2.5, 0.3, "pet")),
+    "fl20_sign_gate": lambda s, d: rounded(gates.sign_consistent(_sparse(s, d), pool.entity_centers(pool.pool_frames(src.detections(s, d).where("cls = 'R'"))))),
+    "or3_three_samples": lambda s, d: report.samples(src.detections(s, d), ["entity", "cls"], ["l_orderkey", "l_extendedprice", "c"], 3).select("entity", "cls", "l_orderkey"),
+    "or10_track_centers": lambda s, d: _entries(s, d).groupBy("entity", "track").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame", "pos", "c"))), lambda x: F.concat_ws(":", x["frame"].cast("string"), F.rint(x["c"] * 1000).cast("int").cast("string"))), ",").alias("series")),
+    "pr25_truth_maps": lambda s, d: src.boxes(s, d, "O").groupBy("entity").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("frame", F.array(*(F.col(c).cast("int") for c in ("x", "y", "w")))))))).alias("boxes")),
+    "xp9_held_out_cuts": lambda s, d: rounded(trials.held_out_cuts(_gains(s, d), "stat", "delta", [0.0, 0.1, 0.3], 10)),
+}
+
+_SPARSE = f"{DETS}, pooled AS (SELECT entity, frame, greatest(0.0, least(1.0, sum(conf * area * c) / sum(conf * area))) AS center, count(*) AS n FROM dets WHERE l_orderkey % 37 = 0 GROUP BY ALL HAVING sum(conf * area) > 0), cs AS (SELECT entity, quantile_cont(center, 0.5) AS median, avg(n) AS clutter, avg((n = 1)::INT) AS single FROM pooled GROUP BY entity)"
+ORACLE_SQL |= {
+    "jn11_spatial_frames": f"WITH {_COVER} SELECT dets.entity, dets.frame, count(*) AS n FROM dets JOIN tr ON tr.entity = dets.entity AND tr.frame = dets.frame AND c BETWEEN lo AND hi GROUP BY ALL",
+    "ag13_sampled_presence": "SELECT l_suppkey AS entity, l_linenumber AS track, count(*) AS n, round(count(*) / greatest(1, l_suppkey % 3 * 100), 6) AS presence FROM lineitem GROUP BY l_suppkey, l_linenumber",
+    "fl19_single_subject": f"WITH {_SPARSE}, k AS (SELECT s_suppkey AS entity, CASE WHEN s_acctbal > 7000 THEN 'pet' ELSE 'person' END AS kind FROM supplier), g AS (SELECT entity, kind, median, coalesce(single, 0) AS single, median IS NULL OR (kind <> 'pet' AND clutter > 2.5) AS gated FROM k LEFT JOIN cs USING (entity)) SELECT entity, kind, gated, NOT gated AND (kind = 'pet' OR single >= 0.3) AS traced, round(CASE WHEN gated THEN 0.5 ELSE median END, 6) AS center FROM g",
+    "fl20_sign_gate": f"WITH {_SPARSE}, pr AS (SELECT entity, frame, greatest(0.0, least(1.0, sum(conf * area * c) / sum(conf * area))) AS center FROM dets WHERE cls = 'R' GROUP BY ALL HAVING sum(conf * area) > 0), o AS (SELECT entity, quantile_cont(center, 0.5) AS other FROM pr GROUP BY entity), r AS (SELECT entity, median, coalesce(sign(round(median, 9) - 0.5) = sign(round(other, 9) - 0.5), false) AS same FROM cs LEFT JOIN o USING (entity)) SELECT entity, round(CASE WHEN same THEN median ELSE 0.5 END, 6) AS center, NOT same AS gated FROM r",
+    "or3_three_samples": f"WITH {DETS} SELECT entity, cls, l_orderkey FROM dets QUALIFY row_number() OVER (PARTITION BY entity, cls ORDER BY l_orderkey, l_extendedprice, c) <= 3",
+    "or10_track_centers": "SELECT l_suppkey AS entity, l_linenumber AS track, string_agg(l_orderkey || ':' || (l_partkey % 1000), ',' ORDER BY l_orderkey, l_partkey, l_extendedprice) AS series FROM lineitem GROUP BY ALL",
+    "pr25_truth_maps": "WITH t AS (SELECT l_orderkey AS entity, l_linenumber AS frame, min(l_partkey % 200) AS x FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL) SELECT entity, '{' || string_agg('\"' || frame || '\":[' || x || ',0,169]', ',' ORDER BY frame) || '}' AS boxes FROM t GROUP BY entity",
+    "xp9_held_out_cuts": "WITH r AS (SELECT l_orderkey AS entity, avg(l_partkey % 1000) / 1000 - 0.5 AS delta, avg(l_quantity) / 50 AS stat FROM lineitem GROUP BY 1), h AS (SELECT *, ('0x' || substr(md5(split::VARCHAR || ':' || entity::VARCHAR), 1, 8))::BIGINT % 2 = 0 AS train FROM r, (SELECT unnest(range(10)) AS split)), c AS (SELECT split, q::DOUBLE AS q, quantile_cont(stat, 1 - 0.0) FILTER (q = 0.0) AS c0, quantile_cont(stat, 0.9) AS c1, quantile_cont(stat, 0.7) AS c3 FROM h, (SELECT unnest([0.0, 0.1, 0.3]) AS q) WHERE train GROUP BY split, q), k AS (SELECT split, q, CASE WHEN q = 0 THEN c0 WHEN q < 0.2 THEN c1 ELSE c3 END AS cut FROM c), e AS (SELECT q, split, avg(CASE WHEN stat <= cut THEN delta ELSE 0 END) AS gain, any_value(cut) AS cut FROM h JOIN k USING (split) WHERE NOT train GROUP BY q, split) SELECT q, count(*) AS n, round(avg(gain), 6) AS mean, round(stddev_samp(gain) / sqrt(count(*)), 6) AS se, round(avg(cut), 6) AS cut FROM e GROUP BY q",
+}
