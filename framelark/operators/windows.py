@@ -114,6 +114,25 @@ def hull(frames: DataFrame) -> DataFrame:
     return frames.groupBy("entity").agg(F.min("frame").alias("start"), F.max("frame").alias("end"))
 
 
+def nearest_runs(frame: np.ndarray, v: np.ndarray, share: float, k: int, gap: int) -> np.ndarray:
+    """Which values of one series, in order of ``frame``, ``threshold_windows`` keeps."""
+    target, lo, hi, best = max(1, round(share * len(v))), v.min(), v.max(), None
+    for _ in range(40):
+        th = (lo + hi) / 2
+        at = np.flatnonzero(v >= th)
+        # a run ends where the next frame above is too far
+        ends = np.flatnonzero(np.append(np.diff(frame[at]) > gap, True)) if len(at) else at
+        first, last = at[np.append(0, ends[:-1] + 1)] if len(at) else at, at[ends] if len(at) else at
+        order = np.lexsort((first, frame[last] - frame[first]))[::-1][:k]
+        keep = np.zeros(len(v), bool)
+        for r in order:
+            keep[first[r] : last[r] + 1] = True
+        if best is None or abs(keep.sum() - target) < abs(best.sum() - target):
+            best = keep
+        lo, hi = (th, hi) if keep.sum() > target else (lo, th)
+    return best
+
+
 def threshold_windows(series: DataFrame, name: str, share: float, k: int, gap: int) -> DataFrame:
     """Per entity the frames of the ``k`` longest runs above a threshold that comes nearest to round(share * n) frames.
 
@@ -124,22 +143,7 @@ def threshold_windows(series: DataFrame, name: str, share: float, k: int, gap: i
 
     def one(pdf):
         pdf = pdf.sort_values("frame")
-        frame, v = pdf["frame"].to_numpy(), pdf[name].to_numpy(float)
-        target, lo, hi, best = max(1, round(share * len(v))), v.min(), v.max(), None
-        for _ in range(40):
-            th = (lo + hi) / 2
-            at = np.flatnonzero(v >= th)
-            # a run ends where the next frame above is too far
-            ends = np.flatnonzero(np.append(np.diff(frame[at]) > gap, True)) if len(at) else at
-            first, last = at[np.append(0, ends[:-1] + 1)] if len(at) else at, at[ends] if len(at) else at
-            order = np.lexsort((first, frame[last] - frame[first]))[::-1][:k]
-            keep = np.zeros(len(v), bool)
-            for r in order:
-                keep[first[r] : last[r] + 1] = True
-            if best is None or abs(keep.sum() - target) < abs(best.sum() - target):
-                best = keep
-            lo, hi = (th, hi) if keep.sum() > target else (lo, th)
-        return pdf[best][["entity", "frame"]]
+        return pdf[nearest_runs(pdf["frame"].to_numpy(), pdf[name].to_numpy(float), share, k, gap)][["entity", "frame"]]
 
     return series.select("entity", "frame", name).groupBy("entity").applyInPandas(one, f"entity {kinds['entity']}, frame {kinds['frame']}")
 

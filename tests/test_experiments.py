@@ -124,3 +124,14 @@ def test_heads(spark):
     df = spark.createDataFrame([([("person", 0.5, 0.1, 0.5), ("person", 0.5, None, 0.5), ("dog", 0.5, 0.1, 0.5), ("person", 0.5, 0.95, 0.5), ("person", 0.5, -1.0, 0.5)],), ([],), (None,)], f"dets {kind}")
     got = [r.d and [round(x.cy, 6) for x in r.d] for r in df.select(arms.with_head_centers(F.col("dets"), 0.2).alias("d")).collect()]
     assert got == [[0.2, 0.5, 0.5, 1.0, 0.0], [], None]
+
+
+def test_selection_brings_series_together_once(spark, capsys):
+    df = spark.createDataFrame([(e, f, float(f % 7)) for e in range(3) for f in range(20)], "entity int, frame int, audio double")
+    iv = spark.createDataFrame([(1, 2, 9)], "entity int, start int, end int")
+    # a window longer than its series is the whole series
+    long = selection.Experiment("long", "best_window", share=1.5, weights={"audio": 1.0})
+    assert selection.selected(df, df, iv, [long]).count() == 60
+    selection.selected(df, df, iv).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") <= 14 and "BroadcastHashJoin" not in plan
