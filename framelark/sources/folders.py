@@ -42,6 +42,16 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def partitions_of(rows: DataFrame, each: int = 8 << 20) -> int:
+    """A number of partitions that grows with the files that ``rows`` are read from, at least Spark's own for shuffles."""
+    spark = rows.sparkSession
+    size = 0
+    for name in rows.inputFiles():
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        size += p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 class Resumable:
     """Results by key under ``path``, made batch by batch, so that a run that is killed goes on without repeating what stands.
 

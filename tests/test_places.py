@@ -19,3 +19,12 @@ def test_nulls_come_last(spark):
     want = sorted(range(50), key=lambda i: (i % 3 == 0, -i if i % 3 else i))
     assert got == list(enumerate(want, 1))
     assert report.placed(rows.limit(0), F.col("v"), ["id"]).collect() == []
+
+
+def test_partitions_follow_the_files(spark, tmp_path):
+    from framelark.sources.folders import partitions_of
+
+    spark.range(3000).repartition(3).write.parquet(f"file://{tmp_path}/a b")
+    rows = spark.read.parquet(f"file://{tmp_path}/a b")
+    assert partitions_of(rows) == 4 and partitions_of(rows.unionByName(rows), 100) > 20
+    assert partitions_of(spark.range(5)) == 4
