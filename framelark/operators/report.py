@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
+from ..sources.folders import partitions_of, shared_folder
 
 
 def placed(rows: DataFrame, lead: Column, order: list, parts: int = 32) -> DataFrame:
@@ -19,7 +19,7 @@ def placed(rows: DataFrame, lead: Column, order: list, parts: int = 32) -> DataF
     spark = rows.sparkSession
     by = [lead.cast("double").asc_nulls_last(), *order]
     path = shared_folder(spark, "places")
-    ranges = rows.repartitionByRange(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by).sortWithinPartitions(*by)
+    ranges = rows.repartitionByRange(max(parts, partitions_of(rows)), *by).sortWithinPartitions(*by)
     # the upper bits of the number are the range, the lower 33 the place in it
     ranges.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     back = spark.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
@@ -36,7 +36,9 @@ def samples(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 
 def index_quantiles(rows: DataFrame, name: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row with the values at place floor(n * q) of the sorted values (from 0), nulls left out: q25, q50, ... Not interpolated; the median is the upper one."""
-    values = placed(rows.where(F.col(name).isNotNull()).select(F.col(name).alias("v")), F.col("v"), ["v"])
+    # a number of its own lets rows of one value spread over ranges; it doesn't show in the result
+    values = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("v"), F.monotonically_increasing_id().alias("i"))
+    values = placed(values, F.col("v"), ["v", "i"])
     n = values.count()
     at = lambda q: F.max(F.when(F.col("place") == min(math.floor(n * q), n - 1) + 1, F.col("v"))).alias(f"q{round(q * 100)}")
     return values.agg(*map(at, shares))
@@ -92,8 +94,8 @@ def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def top_share_mean(rows: DataFrame, by: Column, value: str, shares: list[float], ties: list) -> DataFrame:
     """For each share the mean of ``value`` over that part of the rows with the largest ``by``; the shares are few."""
-    n = rows.count()
     first = placed(rows, -by, [by.desc(), *ties])
+    n = first.count()
     each = first.select("place", value, F.explode(F.array(*map(F.lit, shares))).alias("share")).where(F.col("place") <= F.rint(F.col("share") * n))
     return each.groupBy("share").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
 

@@ -21,9 +21,11 @@ def score_entities(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
     Both have entity, frame and a box, one row a frame. A frame is matched where both have it. Entities without predictions stay.
     """
-    both = pred.select("entity", "frame", F.struct(*BOX).alias("p"), F.lit(None).alias("t")).unionByName(truth.select("entity", "frame", F.lit(None).alias("p"), F.struct(*BOX).alias("t")))
-    # one shuffle by entity serves the match and both counts; a task's share doesn't grow with the input
-    both = both.repartition(partitions_of(both), "entity")
+    p = pred.select("entity", "frame", F.struct(*BOX).alias("p"), F.lit(None).alias("t"))
+    t = truth.select("entity", "frame", F.lit(None).alias("p"), F.struct(*BOX).alias("t"))
+    # one shuffle by entity serves the match and both counts, none where rows lie so already; a task's share doesn't grow with the input
+    n = partitions_of(p.unionByName(t))
+    both = p.repartition(n, "entity").unionByName(t.repartition(n, "entity"))
     frames = both.groupBy("entity", "frame").agg(F.first("p", True).alias("p"), F.first("t", True).alias("t"))
     value = F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), iou(*(F.col(f"{s}.{c}") for s in "pt" for c in BOX)))
     out = frames.groupBy("entity").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_truth"), F.count(value).alias("matched"), F.coalesce(F.sum(value), F.lit(0.0)).alias("sum_iou"))

@@ -42,7 +42,7 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def partitions_of(rows: DataFrame, each: int = 8 << 20) -> int:
+def partitions_of(rows: DataFrame, each: int = 2 << 20) -> int:
     """A number of partitions that grows with the files that ``rows`` are read from, at least Spark's own for shuffles."""
     spark = rows.sparkSession
     size = 0

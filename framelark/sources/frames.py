@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folders import partitions_of
+
 SUBMISSION = "video_id STRING, targetRatioWH ARRAY<DOUBLE>, model_size_mb DOUBLE, predictions ARRAY<STRUCT<frame: INT, bboxes: ARRAY<INT>>>"
 
 
@@ -13,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    """Boxes of the order lines with one status: entity (order), frame (line number), x, y, w, h; the first of each frame by all fields."""
+    """Boxes of the order lines with one status: entity (order), frame (line number), x, y, w, h; the first of each frame by all fields.
+
+    Nearly every line is a frame of its own, so lines go to partitions of entities before they are grouped.
+    """
     li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status)
-    x = (F.col("l_partkey") % 200).cast("double")
-    rows = li.groupBy(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("frame")).agg(F.min(x).alias("x"))
+    li = li.select(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("frame"), (F.col("l_partkey") % 200).cast("double").alias("x"))
+    rows = li.repartition(partitions_of(li), "entity").groupBy("entity", "frame").agg(F.min("x").alias("x"))
     return rows.select("entity", "frame", "x", F.lit(0.0).alias("y"), F.lit(169.0).alias("w"), F.lit(300.0).alias("h"))
 
 
