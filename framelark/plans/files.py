@@ -17,7 +17,7 @@ _C = F.col
 def _entry():
     """A line of an order as the text of one prediction; every thirteenth part number breaks another rule."""
     bad = ["5", '{"bboxes":[1,2,3]}', '{"frame":NaN,"bboxes":[1,2,3]}', '{"frame":1.5,"bboxes":[1,2,3]}', '{"frame":true,"bboxes":[1,2,3]}', '{"frame":-1,"bboxes":[1,2,3]}', '{"frame":1,"bboxes":null}', '{"frame":2,"bboxes":[1,2]}', '{"frame":3,"bboxes":[-1,0,5]}', '{"frame":3,"bboxes":[0,0,0]}', '{"frame":3,"bboxes":[0,Infinity,5]}']
-    text = F.format_string('{"frame":%d,"bboxes":[%d, 0.5, 169]}', "l_linenumber", _C("l_partkey") % 250)
+    text = F.concat(F.lit('{"frame":'), _C("l_linenumber").cast("string"), F.lit(',"bboxes":['), (_C("l_partkey") % 250).cast("string"), F.lit(", 0.5, 169]}"))
     for i, b in enumerate(bad):
         text = F.when(_C("l_partkey") % 40 == i, F.lit(b)).otherwise(text)
     return text
@@ -25,15 +25,20 @@ def _entry():
 
 def _lines(s, d):
     """Orders as lines of a submission, in order; some are broken, some have blank lines before them."""
-    e = src.table(s, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), _entry().alias("entry"))
-    lists = e.groupBy(_C("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "entry"))), lambda x: x["entry"]), ",").alias("es"))
-    o = src.table(s, d, "orders").select("o_orderkey").join(lists, "o_orderkey", "left").withColumn("k", _C("o_orderkey") % 17)
+    at = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    li = src.table(s, d, "lineitem").select(_C("l_orderkey").alias("o_orderkey"), F.lit(0).alias("n"), *at)
+    both = src.table(s, d, "orders").select("o_orderkey", F.lit(1).alias("n")).unionByName(li, allowMissingColumns=True)
+    # ranges of orders over the tables themselves: lines are made once and in order
+    both = both.repartitionByRange(folders.partitions_of(both), "o_orderkey")
+    e = both.select("o_orderkey", "n", F.when(_C("n") == 0, F.struct(F.struct(*at).alias("at"), _entry().alias("entry"))).alias("e"))
+    o = e.groupBy("o_orderkey").agg(F.sum("n").cast("int").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["entry"]), ",").alias("es"))
+    o = o.select("o_orderkey", "es", F.explode(F.array_repeat(F.lit(1), _C("n")))).sortWithinPartitions("o_orderkey").withColumn("k", _C("o_orderkey") % 17)
     ratio = F.when(_C("o_orderkey") % 2 == 0, "[16, 9]").when(_C("k") == 6, '["9", 0]').otherwise("[9, 16.0]")
     rest = F.concat(F.lit(',"targetRatioWH":'), ratio, F.lit(',"predictions":'), F.when(_C("k") == 3, "7").otherwise(F.concat(F.lit("["), F.coalesce("es", F.lit("")), F.lit("]"))), F.lit("}"))
     named = lambda key: F.concat(F.lit('{"video_id":'), key, rest)
     key = _C("o_orderkey").cast("string")
     line = F.when(_C("k") == 0, F.concat(F.lit('{"video_id":'), key)).when(_C("k") == 1, F.concat(F.lit("["), key, F.lit("]"))).when(_C("k") == 2, F.concat(F.lit('{"video":'), key, rest)).when(_C("k") == 4, F.concat(F.lit('{"video_id":"x",'), F.substr(named(key), F.lit(2)))).when(_C("k") == 5, named((_C("o_orderkey") - 1).cast("string"))).when(_C("k") == 7, F.concat(F.lit(" \n\n"), named(F.concat(F.lit('"'), key, F.lit('"'))))).otherwise(named(key))
-    return o.orderBy("o_orderkey").select(line.alias("value"))
+    return o.select(line.alias("value"))
 
 
 def _submission(s, d):
@@ -147,9 +152,8 @@ def round_trip(s, d):
     path = folders.shared_folder(s, "submission")
     submissions.write(submissions.nest(src.boxes(s, d, "F").withColumnRenamed("entity", "video_id"), _clips(s, d), 12.5), path)
     good, _ = submissions.records(s, path)
-    sizes = submissions.model_sizes(good).withColumnRenamed("entity", "video_id")
     e = submissions.checked(good).where("code IS NULL").select("video_id", "frame", "x", "w")
-    return good.select("video_id", "tw", "th").join(sizes, "video_id").join(e, "video_id", "left")
+    return good.select("video_id", "tw", "th", submissions.model_size().alias("size")).join(e, "video_id", "left")
 
 
 def score_report(s, d):

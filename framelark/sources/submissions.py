@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import safe_ratio
+from .folders import partitions_of
 
 #: Numbers that JSON doesn't have but Python writes; read as a number that isn't finite either.
 _NOT_A_NUMBER = r"(?<=[\[:,\s])(?:NaN|-?Infinity)(?=\s*[,\]}])"
 _SPACE = r"^[\s\x0B\x1C-\x1F]+|[\s\x0B\x1C-\x1F]+$"
 RECORD = "video_id STRING, targetRatioWH ARRAY<DOUBLE>, model_size_mb DOUBLE, predictions ARRAY<STRUCT<frame: INT, bboxes: ARRAY<INT>>>"
+#: Bytes of text whose records make a partition.
+EACH = 8 << 20
 FIELDS = ("video_id", "targetRatioWH", "model_size_mb", "predictions")
 
 
@@ -22,17 +25,23 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = raw.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    # broadcast, as a join by block would bring a whole block's lines to one task
+    numbered = raw.join(F.broadcast(blocks.select("file", "block", "first", before.alias("before"))), ["file", "block"])
     return numbered.select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), F.regexp_replace("value", _SPACE, "").alias("value")).where("value != ''")
 
 
-def _kind(v: Column) -> Column:
-    """The type of a variant: OBJECT, ARRAY, STRING, VOID, or a kind of number; null for null."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string, variant>").isNotNull()
 
 
 def _is_number(v: Column) -> Column:
-    return F.coalesce(_kind(v).isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), F.lit(False))
+    kind = F.schema_of_variant(v)
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+
+
+def _list(v: Column) -> Column:
+    """The elements of a variant that is a list, else null."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _finite(v: Column) -> Column:
@@ -40,8 +49,11 @@ def _finite(v: Column) -> Column:
 
 
 def _json(value: Column) -> Column:
-    """JSON as a variant, with NaN and Infinity as numbers that aren't finite; null where it doesn't parse."""
-    return F.coalesce(F.try_parse_json(value), F.try_parse_json(F.regexp_replace(value, _NOT_A_NUMBER, "1e999")))
+    """JSON as a variant, with NaN and Infinity as numbers that aren't finite; null where it doesn't parse.
+
+    The condition always holds: a column with a row's number isn't copied into the filters and fields above it, so a line is parsed once.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, F.coalesce(F.try_parse_json(value), F.try_parse_json(F.regexp_replace(value, _NOT_A_NUMBER, "1e999"))))
 
 
 def _last_of_repeated(value: Column) -> Column:
@@ -61,19 +73,26 @@ def records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     read = read.withColumn("loose", loose)
     field = lambda f: F.coalesce(F.try_variant_get("v", f"$.{f}", "variant"), F.col(f"loose.{f}"))
     known = F.col("loose.video_id").isNotNull() | F.col("loose.predictions").isNotNull()
-    read = read.select("file", "line", _kind(F.col("v")).alias("kind"), known.alias("known"), *(field(f).alias(f) for f in FIELDS))
-    is_object = (F.col("kind") == "OBJECT") | (F.col("kind").isNull() & F.col("known"))
+    parsed = F.col("v").isNotNull()
+    # JSON that parses is an object where it begins as one; naming the kind of a variant would walk through all of it
+    read = read.select("file", "line", parsed.alias("parsed"), F.when(parsed, F.col("value").startswith("{")).otherwise(F.coalesce(known, F.lit(False))).alias("is_object"), *(field(f).alias(f) for f in FIELDS))
     read = read.withColumn("id", F.try_variant_get("video_id", "$", "string"))
-    reason = F.when(F.col("kind").isNull() & ~F.coalesce("known", F.lit(False)), "invalid").when(~is_object, "object").when(F.col("id").isNull(), "video_id")
+    reason = F.when(~F.col("parsed") & ~F.col("is_object"), "invalid").when(~F.col("is_object"), "object").when(F.col("id").isNull(), "video_id")
     read = read.withColumn("reason", reason)
-    first = read.where("reason IS NULL").groupBy("id").agg(F.min(F.struct("file", "line")).alias("first"))
-    read = read.join(first, "id", "left").withColumn("reason", F.when(F.col("reason").isNull() & (F.struct("file", "line") != F.col("first")), "repeated").otherwise(F.col("reason")))
-    no_list = F.col("predictions").isNotNull() & (_kind(F.col("predictions")) != "ARRAY")
-    fault = F.coalesce("reason", F.when(no_list, "predictions"))
-    errors = read.select("file", "line", F.col("id").alias("video_id"), F.lit("json").alias("code"), fault.alias("reason")).where("reason IS NOT NULL")
+    no_list = F.col("predictions").isNotNull() & _list(F.col("predictions")).isNull()
+    n = partitions_of(read, EACH)
+    turn = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("file", "line"))
+    # a line with a fault of its own is its own group
+    group = F.when(F.col("reason").isNull(), F.concat(F.lit("v"), "id")).otherwise(F.concat(F.lit("l"), F.col("line").cast("string"), F.lit(" "), "file"))
+    marked = read.select("file", "line", F.col("id").alias("video_id"), "reason", no_list.alias("no_list"), group.alias("group")).repartition(n, "group")
+    fault = F.coalesce("reason", F.when(turn("group") > 1, "repeated"), F.when(F.col("no_list"), "predictions"))
+    errors = marked.select("file", "line", "video_id", F.lit("json").alias("code"), fault.alias("reason")).where("reason IS NOT NULL")
     ratio = safe_ratio(F.try_variant_get("targetRatioWH", "$", "array<string>"))
-    entries = F.coalesce(F.try_variant_get("predictions", "$", "array<variant>"), F.array().cast("array<variant>"))
-    good = read.where("reason IS NULL").select("file", "line", F.col("id").alias("video_id"), ratio.alias("r"), F.col("model_size_mb").alias("size"), entries.alias("entries"))
+    entries = F.coalesce(_list(F.col("predictions")), F.array().cast("array<variant>"))
+    # everything that follows by video_id takes place in these partitions
+    good = read.where("reason IS NULL").select("file", "line", F.col("id").alias("video_id"), "targetRatioWH", "model_size_mb", "predictions").repartition(n, "video_id")
+    good = good.withColumn("turn", turn("video_id")).where("turn = 1")
+    good = good.select("file", "line", "video_id", ratio.alias("r"), F.col("model_size_mb").alias("size"), entries.alias("entries"))
     return good.select("file", "line", "video_id", "r.tw", "r.th", "size", "entries"), errors
 
 
@@ -85,19 +104,25 @@ def checked(good: DataFrame, meta: DataFrame | None = None, tolerance: float = 1
     ``frame`` (at or beyond the end) and ``bounds`` (beyond the picture by more than ``tolerance``; the height follows from the ratio), then ``dup`` for a frame that an earlier
     valid entry of the video has. ``soft``: valid, but beyond the picture within the tolerance.
     """
-    e = good.select("file", "line", "video_id", "tw", "th", F.posexplode("entries").alias("pos", "e"))
+    return _checked(good, meta, tolerance).drop("tw", "th")
+
+
+def _checked(good: DataFrame, meta: DataFrame | None = None, tolerance: float = 1.0) -> DataFrame:
+    """``checked`` with the ratio of each entry's video."""
+    sizes = ["width", "height", "n_frames"]
     if meta is None:
-        e = e.select("*", *(F.lit(None).cast("double").alias(c) for c in ("width", "height", "n_frames")))
+        good = good.select("*", *(F.lit(None).cast("double").alias(c) for c in sizes))
     else:
-        e = e.join(meta.select("video_id", F.col("W").alias("width"), F.col("H").alias("height"), "n_frames"), "video_id", "left")
+        good = good.join(meta.select("video_id", F.col("W").alias("width"), F.col("H").alias("height"), "n_frames"), "video_id", "left")
+    e = good.select("file", "line", "video_id", "tw", "th", *sizes, F.posexplode("entries").alias("pos", "e"))
     part = lambda k: F.try_variant_get("e", k, "variant")
     f, b = part("$.frame"), part("$.bboxes")
-    e = e.select("*", _kind(F.col("e")).alias("kind"), F.coalesce(_finite(f), F.lit(False)).alias("f_ok"), f.isNotNull().alias("has_f"), F.try_variant_get(f, "$", "double").alias("fd"), (b.isNotNull() & (_kind(b) != "VOID")).alias("has_b"), F.try_variant_get(b, "$", "array<variant>").alias("bs"))
+    e = e.select("*", (F.col("e").isNotNull() & ~_is_object(F.col("e"))).alias("shapeless"), F.coalesce(_finite(f), F.lit(False)).alias("f_ok"), f.isNotNull().alias("has_f"), F.try_variant_get(f, "$", "double").alias("fd"), (b.isNotNull() & ~F.is_variant_null(b)).alias("has_b"), _list(b).alias("bs"))
     num = lambda i: F.try_variant_get(F.get("bs", F.lit(i)), "$", "double")
     e = e.select("*", *(num(i).alias(c) for i, c in enumerate("xyw")), F.forall("bs", _finite).alias("b_ok"))
     right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("w") * F.col("th") / F.col("tw")
     code = (
-        F.when(F.col("kind") != "OBJECT", "shape")
+        F.when(F.col("shapeless"), "shape")
         .when(~F.col("has_f"), "missing")
         .when(~F.col("f_ok") | (F.col("fd") != F.floor("fd")) | (F.col("fd") < 0), "frame")
         .when(~F.col("has_b"), "missing")
@@ -110,15 +135,15 @@ def checked(good: DataFrame, meta: DataFrame | None = None, tolerance: float = 1
     turn = F.row_number().over(Window.partitionBy("video_id", "frame", F.col("code").isNull()).orderBy("pos"))
     e = e.withColumn("code", F.when(F.col("code").isNull() & (turn > 1), "dup").otherwise(F.col("code")))
     soft = F.coalesce(F.col("code").isNull() & ((right > F.col("width")) | (bottom > F.col("height"))), F.lit(False))
-    return e.select("file", "line", "video_id", "pos", "frame", "x", "y", "w", "code", soft.alias("soft"))
+    return e.select("file", "line", "video_id", "tw", "th", "pos", "frame", "x", "y", "w", "code", soft.alias("soft"))
 
 
 def truth(spark: SparkSession, path: str, meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid boxes (video_id, tw, th, frame, x, y, w) of a truth file, the last of a frame's valid entries, and the lines that were left out."""
     good, errors = records(spark, path)
-    rows = checked(good, meta).where("code IS NULL OR code = 'dup'")
-    last = rows.groupBy("video_id", "frame").agg(F.max_by(F.struct("x", "y", "w"), "pos").alias("b"))
-    return last.join(good.select("video_id", "tw", "th"), "video_id").select("video_id", "tw", "th", "frame", "b.x", "b.y", "b.w"), errors
+    rows = _checked(good, meta).where("code IS NULL OR code = 'dup'")
+    last = rows.groupBy("video_id", "frame").agg(F.max_by(F.struct("tw", "th", "x", "y", "w"), "pos").alias("b"))
+    return last.select("video_id", "b.tw", "b.th", "frame", "b.x", "b.y", "b.w"), errors
 
 
 def run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -127,10 +152,10 @@ def run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Numbers are cut to integers (texts that are numbers too). Of a video's lines the last one counts, of a frame's entries the last; entries without a frame or three numbers are left out.
     """
     read = lines(spark, path).select("file", "line", _json(F.col("value")).alias("v"))
-    bad = read.where(F.col("v").isNull() | (_kind(F.col("v")) != "OBJECT") | F.try_variant_get("v", "$.video_id", "string").isNull()).select("file", "line")
+    bad = read.where(F.col("v").isNull() | F.try_variant_get("v", "$.video_id", "string").isNull()).select("file", "line")
     good = read.select("file", "line", F.try_variant_get("v", "$.video_id", "string").alias("video_id"), "v").where("video_id IS NOT NULL")
-    last = good.groupBy("video_id").agg(F.max(F.struct("file", "line")).alias("last"))
-    good = good.join(last, "video_id").where(F.struct("file", "line") == F.col("last"))
+    turn = F.row_number().over(Window.partitionBy("video_id").orderBy(F.col("file").desc(), F.col("line").desc()))
+    good = good.repartition(partitions_of(good, EACH), "video_id").withColumn("turn", turn).where("turn = 1")
     ratio = safe_ratio(F.try_variant_get("v", "$.targetRatioWH", "array<string>"))
     good = good.select("video_id", "v", ratio.alias("r"))
     e = good.select("video_id", "r.tw", "r.th", F.posexplode(F.try_variant_get("v", "$.predictions", "array<variant>")).alias("pos", "e"))
@@ -150,10 +175,15 @@ def index(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     return rows.select("place", "r.video_id", safe_ratio(F.col("r.targetRatioWH")).alias("q")).select("place", "video_id", "q.tw", "q.th")
 
 
+def model_size() -> Column:
+    """The size of ``records`` as a number."""
+    given = F.col("size").isNotNull() & ~F.is_variant_null("size")
+    return F.when(given, F.when(_is_number(F.col("size")), F.try_variant_get("size", "$", "double")).otherwise(float("nan")))
+
+
 def model_sizes(good: DataFrame) -> DataFrame:
     """entity, size for ``operators.validate.size_violations``; a size that is no number comes as NaN, a missing one as null."""
-    given = F.col("size").isNotNull() & (_kind(F.col("size")) != "VOID")
-    return good.select(F.col("video_id").alias("entity"), F.when(given, F.when(_is_number(F.col("size")), F.try_variant_get("size", "$", "double")).otherwise(float("nan"))).alias("size"))
+    return good.select(F.col("video_id").alias("entity"), model_size().alias("size"))
 
 
 def listed(rows: DataFrame, ids: list[str] | None = None, full_frame: DataFrame | None = None, limit: int | None = None) -> DataFrame:

@@ -210,3 +210,16 @@ def test_strict_lookup(spark):
     assert validate.strict(rows, rows).count() == 2
     with pytest.raises(ValueError, match="b"):
         validate.strict(rows, rows.where("entity = 'a'"))
+
+
+def test_lines_are_parsed_once_and_stay_with_their_video(spark, tmp_path):
+    """No filter parses again, no join by block moves lines, and one shuffle by video serves repeats, entries and boxes."""
+    text = "\n".join(f'{{"video_id": "{k}", "predictions": [{entry()}]}}' for k in "abca") + "\n{broken\n[1]\n"
+    path = write(tmp_path / "p.jsonl", text)
+    boxes, errors = submissions.truth(spark, path)
+    for rows in (boxes, errors, submissions.run(spark, path)[0]):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not any("parseJson" in x for x in plan.split("\n") if "Filter" in x)
+        assert plan.count("parseJson") == 2 and plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+    assert sorted(r.video_id for r in boxes.collect()) == ["a", "b", "c"]
+    assert sorted((r.line, r.reason) for r in errors.collect()) == [(4, "repeated"), (5, "invalid"), (6, "object")]
