@@ -28,7 +28,13 @@ from .tokens import default_path, encoder
 U = np.uint64
 MAGIC, A, LIMIT, EVERY, GAIN = b"CMR1", 4096, 1 << 17, 8, 24
 TOP, BOTTOM = U(1) << U(48), U(1) << U(40)
-HASH_BITS = 18
+HASH_BITS, LANE_BITS, SHIFT = 18, 24, A.bit_length() - 1
+
+
+#: By confidence + 8 * whether the prediction came true: the confidence that follows, and whether the predicted id stays.
+_RIGHT, _SURE = np.arange(16) > 7, np.arange(16) & 7
+NEXT = np.where(_RIGHT, np.minimum(_SURE + 1, 7), np.where(_SURE > 3, _SURE - 3, 1))
+STAYS = _RIGHT | (_SURE > 3)
 
 
 class Model:
@@ -39,8 +45,8 @@ class Model:
         self.count = np.ones(ids, np.int64)
         self.seen: list[np.ndarray] = []
         self.sum_up()
-        self.p1, self.c1 = np.zeros(ids + 1, np.int64), np.zeros(ids + 1, np.int64)
-        self.p2, self.c2 = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
+        # a context's predicted id * 8 + its confidence, for orders 1 and 2
+        self.tables = np.zeros(ids + 1, np.int32), np.zeros(1 << HASH_BITS, np.int32)
         self.hit = np.ones((2, 8))
         self.tried = np.full((2, 8), 4.0)
         self.rate()
@@ -60,23 +66,39 @@ class Model:
         """Set the two predicted ids and the weights of the three orders for the first ``live`` lanes."""
         a, b = self.last[:live], self.last2[:live]
         self.at1, self.at2 = a, ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
-        self.q1, self.k1 = self.p1[self.at1], self.c1[self.at1]
-        self.q2, self.k2 = self.p2[self.at2], self.c2[self.at2]
-        w2 = self.weight[1][self.k2]
-        w1 = (A - w2) * self.weight[0][self.k1] // A
-        same = self.q1 == self.q2
-        w2 = w2 + np.where(same, w1, 0)
-        w1 = np.where(same, 0, w1)
+        e1, e2 = (e.take(at).astype(np.int64) for e, at in zip(self.tables, (self.at1, self.at2), strict=True))
+        self.q1, self.k1, self.q2, self.k2 = e1 >> 3, e1 & 7, e2 >> 3, e2 & 7
+        w2 = self.weight[1].take(self.k2)
+        w1 = (A - w2) * self.weight[0].take(self.k1) >> SHIFT
+        same = w1 * (self.q1 == self.q2)
+        w2 += same
+        w1 -= same
         self.w0, self.w1, self.w2 = A - w1 - w2, w1 * self.total, w2 * self.total
 
+    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids ``s`` begin in the mixed distribution, and their widths."""
+        c = self.cum.take(s)
+        start, width = self.w0 * c, self.w0 * (self.cum.take(s + 1) - c)
+        for q, w in ((self.q1, self.w1), (self.q2, self.w2)):
+            start += w * (q < s)
+            width += w * (q == s)
+        return start, width
+
+    def find(self, u: np.ndarray) -> np.ndarray:
+        """The ids whose counts of order 0 hold ``u``; sorted first, as a search in order is faster."""
+        at = np.sort((u << LANE_BITS) | np.arange(len(u)))
+        s = np.empty(len(u), np.int64)
+        s[at & ((1 << LANE_BITS) - 1)] = np.searchsorted(self.cum, at >> LANE_BITS, "right") - 1
+        return s
+
     def learn(self, ids: np.ndarray) -> None:
         live = len(ids)
-        for o, (table, sure, at, q, k) in enumerate(((self.p1, self.c1, self.at1, self.q1, self.k1), (self.p2, self.c2, self.at2, self.q2, self.k2))):
-            right = q == ids
-            self.hit[o] += np.bincount(k[right], minlength=8)
-            self.tried[o] += np.bincount(k, minlength=8)
-            table[at] = np.where(right | (k > 3), q, ids)
-            sure[at] = np.where(right, np.minimum(k + 1, 7), np.where(k > 3, k - 3, 1))
+        for o, (at, q, k) in enumerate(((self.at1, self.q1, self.k1), (self.at2, self.q2, self.k2))):
+            case = k + 8 * (q == ids)
+            n = np.bincount(case, minlength=16)
+            self.hit[o] += n[8:]
+            self.tried[o] += n[:8] + n[8:]
+            self.tables[o][at] = ((np.where(STAYS.take(case), q, ids) << 3) + NEXT.take(case)).astype(np.int32)
         self.last2[:live] = self.last[:live]
         self.last[:live] = ids
         self.seen.append(ids)
@@ -114,9 +136,7 @@ def encode_block(ids: np.ndarray, n_ids: int, most_lanes: int = 4096) -> bytes:
         live = used if t < steps - short else used - 1
         s = rows[t, :live]
         m.predict(live)
-        c = m.cum[s]
-        start = m.w0 * c + np.where(m.q1 < s, m.w1, 0) + np.where(m.q2 < s, m.w2, 0)
-        width = m.w0 * (m.cum[s + 1] - c) + np.where(m.q1 == s, m.w1, 0) + np.where(m.q2 == s, m.w2, 0)
+        start, width = m.interval(s)
         r = rng[:live] // U(A * m.total)
         low[:live] += start.astype(U) * r
         rng[:live] = r * width.astype(U)
@@ -172,20 +192,18 @@ def decode_block(payload: bytes, n_ids: int) -> np.ndarray:
         m.predict(live)
         r = rng[:live] // U(A * m.total)
         v = np.minimum((code[:live] - low[:live]) // r, U(A * m.total - 1)).astype(np.int64)
+        # what the two predictions add lies where their ids begin: at and beyond it, v is theirs or has them before it
         first = m.q1 < m.q2
         pa, pb = np.where(first, m.q1, m.q2), np.where(first, m.q2, m.q1)
-        wa, wb = np.where(first, m.w1, m.w2), np.where(first, m.w2, m.w1)
-        ca, cb = m.cum[pa], m.cum[pb]
-        la, lb = m.w0 * ca, m.w0 * cb + wa
-        ha, hb = m.w0 * m.cum[pa + 1] + wa, m.w0 * m.cum[pb + 1] + wa + wb
-        u = v - np.where(v >= ha, wa, 0) - np.where(v >= hb, wb, 0)
-        s = np.searchsorted(m.cum, u // m.w0, "right") - 1
+        wa = np.where(first, m.w1, m.w2)
+        wb = m.w1 + m.w2 - wa
+        la, lb = m.w0 * m.cum.take(pa), m.w0 * m.cum.take(pb) + wa
+        ha, hb = m.w0 * m.cum.take(pa + 1) + wa, m.w0 * m.cum.take(pb + 1) + wa + wb
+        s = m.find((v - wa * (v >= ha) - wb * (v >= hb)) // m.w0)
         s = np.where((v >= la) & (v < ha), pa, np.where((v >= lb) & (v < hb), pb, s))
         if int(s.max()) >= n_ids:
             raise ValueError("a block of token ids is damaged")
-        c = m.cum[s]
-        start = m.w0 * c + np.where(m.q1 < s, m.w1, 0) + np.where(m.q2 < s, m.w2, 0)
-        width = m.w0 * (m.cum[s + 1] - c) + np.where(m.q1 == s, m.w1, 0) + np.where(m.q2 == s, m.w2, 0)
+        start, width = m.interval(s)
         low[:live] += start.astype(U) * r
         rng[:live] = r * width.astype(U)
         i = None

@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -15,6 +16,9 @@ PLAIN = re.compile("[!-;=-~\u00c0-\u00ff]+")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+#: Packs so many ids as little-endian unsigned 32-bit bytes.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
 #: The normalizer and the splitting that ``PLAIN`` and ``PIECES`` stand for.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,11 +34,12 @@ def splits_as_here(path: str) -> bool:
 
 
 class Encoder(dict):
-    """Word (bytes, no ASCII white space) -> ids as little-endian unsigned 32-bit bytes.
+    """Word or piece of a word (bytes, no ASCII white space) -> ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in
     order. Plain words are split once more, so that ``the,`` and ``The`` share ``the``; their pieces need
-    no normalizing and go to the tokenizer's model at once. Both memories are emptied at ``limit`` entries.
+    no normalizing and go to the tokenizer's model at once. A piece splits into itself, so words and pieces share
+    one memory. When it holds ``limit`` entries it becomes the older one and the older one before is forgotten: what is in use stays.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
@@ -42,7 +47,7 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.pieces = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
         self.split, self.model = splits_as_here(path), self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.by_byte = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -51,21 +56,28 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, p: str) -> bytes:
-        got = self.pieces.get(p)
-        if got is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            got = self.pieces[p] = np.array([t.id for t in self.model.tokenize(p.translate(self.by_byte))], "<u4").tobytes()
-        return got
+        ids = [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.by_byte))]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        got = self.older.pop(word, None)
+        if got is None:
+            if not self.split:
+                got = self.library(word)
+            elif word.isalpha():
+                # ASCII letters alone: one piece
+                low = word.lower()
+                got = self.piece(word.decode()) if low == word else self[low]
+            else:
+                text = word.decode("utf-8", "replace")
+                if PLAIN.fullmatch(text):
+                    pieces = PIECES.findall(text.lower())
+                    got = self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
+                else:
+                    got = self.library(word)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if self.split and PLAIN.fullmatch(text):
-            got = b"".join([self.piece(p) for p in PIECES.findall(text.lower())])
-        else:
-            got = self.library(word)
         self[word] = got
         return got
 

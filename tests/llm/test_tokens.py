@@ -1,10 +1,12 @@
 """Ids of the fast path are the tokenizer's own."""
 
+import zlib
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from framelark.llm.tokens import default_path, encoder
+from framelark.llm.tokens import Encoder, default_path, encoder
 
 ALPHABET = "aBZz09'stÀ×ß÷ÿªé́ \n\t<|>$.,-İΣ一\U0001f600\x7f\x00\xa0re've"
 
@@ -15,3 +17,30 @@ def test_ids_are_the_librarys(text):
     enc = encoder(default_path())
     text = text.encode("utf-8", "replace").decode()
     assert enc.ids(text) == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_words_in_use_stay_in_a_bounded_memory():
+    enc = Encoder(default_path(), 100)
+    model, asked = enc.model, []
+
+    class Counting:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    enc.model = Counting()
+    whole = encoder(default_path()).tokenizer
+    for i in range(200):
+        text = "The harbour, the lamps " + " ".join(f"zq{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxy'[j % 5]}{'abcdefgh'[j // 5]}{i}" for j in range(20))
+        assert enc.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(enc) + len(enc.older) <= 200
+    assert asked.count("harbour") == asked.count("lamps") == 1
+
+
+def test_payloads_stay_as_they_were():
+    from framelark.llm import tokenfiles
+
+    ids = np.random.default_rng(5).zipf(1.3, 60_000) % 900
+    block = tokenfiles.encode_block(ids, 900)
+    assert (len(block), zlib.crc32(block)) == (53_920, 2_201_962_325)
+    assert (tokenfiles.decode_block(block, 900) == ids).all()
