@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import os
@@ -12,6 +13,9 @@ import numpy as np
 
 #: Words of these characters alone (ASCII without ``<``, letters of Latin-1) look the same in every normal form and hold no added token.
 PLAIN = re.compile("[!-;=-~\u00c0-\u00ff]+")
+PLAIN_TEXT = re.compile("[\t-\r !-;=-~\u00c0-\u00ff]+")
+#: Marks that are a piece of their own after a letter at a word's end.
+MARKS = frozenset(b"%c" % c for c in b".,;:!?)")
 #: What the tokenizer splits a lower-case plain word into before merging.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
@@ -50,31 +54,43 @@ class Encoder(dict):
         self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
         self.split, self.model = splits_as_here(path), self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.by_byte = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        # the model's letter for each byte of a plain piece in UTF-8: ASCII as it is, C3 and what may follow it
+        self.letters = [chr(c) for c in range(256)]
+        for c in range(0xC0, 0x100):
+            self.letters[0xC3], self.letters[c - 0x40] = level.pre_tokenize_str(chr(c))[0][0]
+        self.letters = "".join(self.letters)
 
     def library(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, p: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.by_byte))]
+    def piece(self, p: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(codecs.charmap_decode(p, "strict", self.letters)[0])]
         return PACK[len(ids)](*ids) if len(ids) < len(PACK) else np.array(ids, "<u4").tobytes()
 
+    def fresh(self, word: bytes) -> bytes:
+        """The ids of a word that isn't remembered."""
+        if not self.split:
+            return self.library(word)
+        low, last = word.lower(), word[-1:]
+        if low.isalpha():
+            # ASCII letters alone: one piece
+            return self.piece(word) if low == word else self[low]
+        if last in MARKS and low[:-1].isalpha():
+            return self[low[:-1]] + self[last]
+        text = word.decode("utf-8", "replace")
+        if not PLAIN.fullmatch(text):
+            return self.library(word)
+        text = text.lower()
+        pieces = [text] if text.isalpha() else PIECES.findall(text)
+        if len(pieces) > 1:
+            return b"".join([self[p.encode()] for p in pieces])
+        low = text.encode()
+        return self.piece(word) if low == word else self[low]
+
     def __missing__(self, word: bytes) -> bytes:
         got = self.older.pop(word, None)
         if got is None:
-            if not self.split:
-                got = self.library(word)
-            elif word.isalpha():
-                # ASCII letters alone: one piece
-                low = word.lower()
-                got = self.piece(word.decode()) if low == word else self[low]
-            else:
-                text = word.decode("utf-8", "replace")
-                if PLAIN.fullmatch(text):
-                    pieces = PIECES.findall(text.lower())
-                    got = self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self[p.encode()] for p in pieces])
-                else:
-                    got = self.library(word)
+            got = self.fresh(word)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -86,6 +102,9 @@ class Encoder(dict):
             return b""
         if not self.split:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if PLAIN_TEXT.fullmatch(text):
+            # no letter composes with another: small letters from the start, and words are remembered once
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
