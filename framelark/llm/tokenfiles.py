@@ -28,13 +28,11 @@ from .tokens import default_path, encoder
 U = np.uint64
 MAGIC, A, LIMIT, EVERY, GAIN = b"CMR1", 4096, 1 << 17, 8, 24
 TOP, BOTTOM = U(1) << U(48), U(1) << U(40)
-HASH_BITS, LANE_BITS, SHIFT = 18, 24, A.bit_length() - 1
+HASH_BITS, BUCKET, SHIFT = 18, 6, A.bit_length() - 1
 
 
-#: By confidence + 8 * whether the prediction came true: the confidence that follows, and whether the predicted id stays.
-_RIGHT, _SURE = np.arange(16) > 7, np.arange(16) & 7
-NEXT = np.where(_RIGHT, np.minimum(_SURE + 1, 7), np.where(_SURE > 3, _SURE - 3, 1))
-STAYS = _RIGHT | (_SURE > 3)
+#: By confidence + 8 * whether the prediction came true (a case): what the confidence gains. In cases 0 to 3 another id takes the place, at confidence 1.
+GAINS = np.array([0] * 4 + [-3] * 4 + [1] * 7 + [0], np.int32)
 
 
 class Model:
@@ -43,7 +41,9 @@ class Model:
     def __init__(self, ids: int, lanes: int):
         self.ids, self.lanes, self.step = ids, lanes, 0
         self.count = np.ones(ids, np.int64)
+        # ids and cases of both orders since the last sums
         self.seen: list[np.ndarray] = []
+        self.cases: list[np.ndarray] = []
         self.sum_up()
         # a context's predicted id * 8 + its confidence, for orders 1 and 2
         self.tables = np.zeros(ids + 1, np.int32), np.zeros(1 << HASH_BITS, np.int32)
@@ -57,6 +57,7 @@ class Model:
         self.cum = np.zeros(self.ids + 1, np.int64)
         np.cumsum(self.count, out=self.cum[1:])
         self.total = int(self.cum[-1])
+        self.first = None
 
     def rate(self) -> None:
         self.weight = np.minimum((A * 15 // 16) * self.hit / self.tried, A * 15 // 16).astype(np.int64)
@@ -66,7 +67,7 @@ class Model:
         """Set the two predicted ids and the weights of the three orders for the first ``live`` lanes."""
         a, b = self.last[:live], self.last2[:live]
         self.at1, self.at2 = a, ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 7) & ((1 << HASH_BITS) - 1)
-        e1, e2 = (e.take(at).astype(np.int64) for e, at in zip(self.tables, (self.at1, self.at2), strict=True))
+        self.e1, self.e2 = e1, e2 = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
         self.q1, self.k1, self.q2, self.k2 = e1 >> 3, e1 & 7, e2 >> 3, e2 & 7
         w2 = self.weight[1].take(self.k2)
         w1 = (A - w2) * self.weight[0].take(self.k1) >> SHIFT
@@ -77,28 +78,44 @@ class Model:
 
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids ``s`` begin in the mixed distribution, and their widths."""
-        c = self.cum.take(s)
-        start, width = self.w0 * c, self.w0 * (self.cum.take(s + 1) - c)
+        start, width = self.w0 * self.cum.take(s), self.w0 * self.count.take(s)
         for q, w in ((self.q1, self.w1), (self.q2, self.w2)):
             start += w * (q < s)
             width += w * (q == s)
         return start, width
 
     def find(self, u: np.ndarray) -> np.ndarray:
-        """The ids whose counts of order 0 hold ``u``; sorted first, as a search in order is faster."""
-        at = np.sort((u << LANE_BITS) | np.arange(len(u)))
-        s = np.empty(len(u), np.int64)
-        s[at & ((1 << LANE_BITS) - 1)] = np.searchsorted(self.cum, at >> LANE_BITS, "right") - 1
+        """The ids whose counts of order 0 hold ``u``: mostly the last id that begins before u's bucket of ``1 << BUCKET`` counts, else found by search."""
+        if self.first is None:
+            self.first = np.cumsum(np.bincount((self.cum[:-1] + ((1 << BUCKET) - 1)) >> BUCKET, minlength=(self.total >> BUCKET) + 1)) - 1
+        s = self.first.take(u >> BUCKET, mode="clip")
+        further = np.flatnonzero(self.cum.take(s + 1) <= u)
+        s[further] = np.searchsorted(self.cum, u.take(further), "right") - 1
         return s
 
+    def locate(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals of the mixed distribution hold ``v``, where those begin and their widths."""
+        # what a prediction adds lies where its id begins: from the end of that id on, v has it before it
+        rest, mine = v, []
+        for q, w, before in ((self.q1, self.w1, self.w2 * (self.q2 < self.q1)), (self.q2, self.w2, self.w1 * (self.q1 < self.q2))):
+            before += self.w0 * self.cum.take(q)
+            past = v >= before + self.w0 * self.count.take(q) + w
+            rest = rest - w * past
+            mine.append((v >= before) > past)
+        s = self.find((rest.view(U) // self.w0.view(U)).view(np.int64))
+        s = np.where(mine[0], self.q1, np.where(mine[1], self.q2, s))
+        if int(s.max()) >= self.ids:
+            raise ValueError("a block of token ids is damaged")
+        return s, *self.interval(s)
+
     def learn(self, ids: np.ndarray) -> None:
         live = len(ids)
-        for o, (at, q, k) in enumerate(((self.at1, self.q1, self.k1), (self.at2, self.q2, self.k2))):
-            case = k + 8 * (q == ids)
-            n = np.bincount(case, minlength=16)
-            self.hit[o] += n[8:]
-            self.tried[o] += n[:8] + n[8:]
-            self.tables[o][at] = ((np.where(STAYS.take(case), q, ids) << 3) + NEXT.take(case)).astype(np.int32)
+        small = ids.astype(np.int32)
+        new = (small << 3) + 1
+        for table, at, e, q, k in ((self.tables[0], self.at1, self.e1, self.q1, self.k1), (self.tables[1], self.at2, self.e2, self.q2, self.k2)):
+            case = k + ((q == small).view(np.int8) << 3)
+            table[at] = np.where(case > 3, e + GAINS.take(case), new)
+            self.cases.append(case)
         self.last2[:live] = self.last[:live]
         self.last[:live] = ids
         self.seen.append(ids)
@@ -106,9 +123,14 @@ class Model:
         if self.step % EVERY == 0:
             new = np.concatenate(self.seen)
             self.seen.clear()
+            for o in (0, 1):
+                n = np.bincount(np.concatenate(self.cases[o::2]), minlength=16)
+                self.hit[o] += n[8:]
+                self.tried[o] += n[:8] + n[8:]
+            self.cases.clear()
             self.count += np.bincount(new, minlength=self.ids) * GAIN
-            if int(self.count.sum()) > LIMIT + 40 * self.ids:
-                self.count = (self.count + 1) // 2
+            if self.total + len(new) * GAIN > LIMIT + 40 * self.ids:
+                self.count = (self.count + 1) >> 1
             self.sum_up()
             self.rate()
 
@@ -131,7 +153,8 @@ def encode_block(ids: np.ndarray, n_ids: int, most_lanes: int = 4096) -> bytes:
     short = used * steps - len(ids)
     m = Model(n_ids, used)
     low, rng = np.zeros(used, U), np.full(used, ~U(0), U)
-    out, at = np.zeros((used, 2 * steps + 8), np.uint16), np.zeros(used, np.int64)
+    # words in the order of coding, and their lanes
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for t in range(steps):
         live = used if t < steps - short else used - 1
         s = rows[t, :live]
@@ -140,30 +163,38 @@ def encode_block(ids: np.ndarray, n_ids: int, most_lanes: int = 4096) -> bytes:
         r = rng[:live] // U(A * m.total)
         low[:live] += start.astype(U) * r
         rng[:live] = r * width.astype(U)
-        _emit(low, rng, live, out, at)
+        _emit(low, rng, live, out)
         m.learn(s)
-    for _ in range(4):
-        out[np.arange(used), at] = (low >> U(48)).astype(np.uint16)
-        low <<= U(16)
-        at = at + 1
-    lengths = at.astype("<u4")
-    return head + lengths.tobytes() + b"".join(out[i, : at[i]].astype("<u2").tobytes() for i in range(used))
-
-
-def _emit(low: np.ndarray, rng: np.ndarray, live: int, out: np.ndarray, at: np.ndarray) -> None:
-    i = None
+    for k in range(4):
+        out.append(((low >> U(48 - 16 * k)).astype(np.uint16), np.arange(used)))
+    words, lanes = np.concatenate([w for w, _ in out]), np.concatenate([i for _, i in out])
+    lengths = np.bincount(lanes, minlength=used).astype("<u4")
+    # sorting of 16 bits takes a few passes
+    order = np.argsort(lanes.astype(np.uint16) if used <= 1 << 16 else lanes, kind="stable")
+    return head + lengths.tobytes() + words.take(order).astype("<u2").tobytes()
+
+
+def _ready(lo: np.ndarray, ra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a word is settled, or has to be as the range got small; and what the range becomes there."""
+    done = (lo ^ (lo + ra)) < TOP
+    where = np.flatnonzero(done | (ra < BOTTOM))
+    ra = ra.take(where)
+    short = np.flatnonzero(~done.take(where))
+    if len(short):
+        ra[short] = (~lo.take(where.take(short)) + U(1)) & (BOTTOM - U(1))
+    return where, ra
+
+
+def _emit(low: np.ndarray, rng: np.ndarray, live: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    i, lo, ra = None, low[:live], rng[:live]
     while True:
-        lo, ra = (low[:live], rng[:live]) if i is None else (low[i], rng[i])
-        done = (lo ^ (lo + ra)) < TOP
-        go = done | (ra < BOTTOM)
-        where = np.flatnonzero(go)
+        where, ra = _ready(lo, ra)
         if not len(where):
             return
-        lo, ra = lo[where], np.where(done[where], ra[where], (~lo[where] + U(1)) & (BOTTOM - U(1)))
-        i = where if i is None else i[where]
-        out[i, at[i]] = (lo >> U(48)).astype(np.uint16)
-        at[i] += 1
-        low[i], rng[i] = lo << U(16), ra << U(16)
+        lo, i = lo.take(where), where if i is None else i.take(where)
+        out.append(((lo >> U(48)).astype(np.uint16), i))
+        lo, ra = lo << U(16), ra << U(16)
+        low[i], rng[i] = lo, ra
 
 
 def decode_block(payload: bytes, n_ids: int) -> np.ndarray:
@@ -192,32 +223,20 @@ def decode_block(payload: bytes, n_ids: int) -> np.ndarray:
         m.predict(live)
         r = rng[:live] // U(A * m.total)
         v = np.minimum((code[:live] - low[:live]) // r, U(A * m.total - 1)).astype(np.int64)
-        # what the two predictions add lies where their ids begin: at and beyond it, v is theirs or has them before it
-        first = m.q1 < m.q2
-        pa, pb = np.where(first, m.q1, m.q2), np.where(first, m.q2, m.q1)
-        wa = np.where(first, m.w1, m.w2)
-        wb = m.w1 + m.w2 - wa
-        la, lb = m.w0 * m.cum.take(pa), m.w0 * m.cum.take(pb) + wa
-        ha, hb = m.w0 * m.cum.take(pa + 1) + wa, m.w0 * m.cum.take(pb + 1) + wa + wb
-        s = m.find((v - wa * (v >= ha) - wb * (v >= hb)) // m.w0)
-        s = np.where((v >= la) & (v < ha), pa, np.where((v >= lb) & (v < hb), pb, s))
-        if int(s.max()) >= n_ids:
-            raise ValueError("a block of token ids is damaged")
-        start, width = m.interval(s)
+        s, start, width = m.locate(v)
         low[:live] += start.astype(U) * r
         rng[:live] = r * width.astype(U)
-        i = None
+        i, lo, ra = None, low[:live], rng[:live]
         while True:
-            lo, ra = (low[:live], rng[:live]) if i is None else (low[i], rng[i])
-            done = (lo ^ (lo + ra)) < TOP
-            where = np.flatnonzero(done | (ra < BOTTOM))
+            where, ra = _ready(lo, ra)
             if not len(where):
                 break
-            lo, ra = lo[where], np.where(done[where], ra[where], (~lo[where] + U(1)) & (BOTTOM - U(1)))
-            i = where if i is None else i[where]
-            code[i] = (code[i] << U(16)) | words[np.minimum(at[i], len(words) - 1)]
-            at[i] += 1
-            low[i], rng[i] = lo << U(16), ra << U(16)
+            lo, i = lo.take(where) << U(16), where if i is None else i.take(where)
+            ra <<= U(16)
+            here = at.take(i)
+            code[i] = (code.take(i) << U(16)) | words.take(here, mode="clip")
+            at[i] = here + 1
+            low[i], rng[i] = lo, ra
         rows[t, :live] = s
         m.learn(s)
     ids = np.ascontiguousarray(rows.T).reshape(-1)[:n]
@@ -251,8 +270,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([[d for d, _ in held]], pa.list_(pa.int64())), "lengths": pa.array([[len(x) // 4 for _, x in held]], pa.list_(pa.int64())), "n_tokens": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = enc.ids(t) + end
+            for d, x in zip(b.column(0).to_pylist(), enc.many(b.column(1).to_pylist(), end), strict=True):
                 if held and size + len(x) // 4 > block_tokens:
                     yield flush()
                     block, held, size = block + 1, [], 0
