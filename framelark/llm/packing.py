@@ -64,8 +64,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     def run(b):
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         out: dict[str, list] = {k: [] for k in ("doc_id", "fp", "start", "length", "doc_tokens", "ids")}
-        for d, fp, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            ids = enc.ids(t) + end
+        for d, fp, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), enc.many(b.column(2).to_pylist(), end), strict=True):
             n = len(ids) // 4
             for s in range(0, n, capacity):
                 part = ids[4 * s : 4 * (s + capacity)]

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline
 from framelark.llm import packing
 from framelark.llm.tokens import default_path, encoder
@@ -44,3 +46,12 @@ def test_long_documents_are_dealt_in_parts(spark):
     long = spark.createDataFrame([(1, "word " * 60_000)], "doc_id long, text string")
     rows = packing.pack(long, capacity=16, group_docs=1, group_chars=20_000).collect()
     assert sum(r.length for r in rows) == rows[0].doc_tokens and len({r.sequence_id >> 32 for r in rows}) > 1
+
+
+def test_ids_of_mixed_texts_are_the_librarys(spark):
+    texts = ["The harbour, the lamps; it's a naïve list of 12 (twelve) things.", None, "", " \n", "İstanbul <|endoftext|> 一二", "2 × 3 ÷ 4 'Re're"]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), default_path(), 4, 1).collect()
+    whole = encoder(default_path()).tokenizer
+    for i, t in enumerate(texts):
+        got = b"".join(bytes(r.ids) for r in sorted(rows, key=lambda r: r.start) if r.doc_id == i)
+        assert np.frombuffer(got, "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1]
